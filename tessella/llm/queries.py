@@ -1,10 +1,12 @@
 """The queries of this subpackage, and their SQL where SQL can express them."""
 
-from tessella.llm import exact_dedup, simhash
+from tessella.llm import decontaminate, exact_dedup, packing, simhash
 
 QUERIES = {
+    "op5_decontamination": decontaminate.op5_decontamination,
+    "op6_packing": packing.op6_packing,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op10_simhash": simhash.op10_simhash,
 }
 
-SQL = {"op7_exact_dedup": exact_dedup.SQL}
+SQL = {"op5_decontamination": decontaminate.SQL, "op7_exact_dedup": exact_dedup.SQL}
