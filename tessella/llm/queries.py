@@ -1,8 +1,9 @@
 """The queries of this subpackage, and their SQL where SQL can express them."""
 
-from tessella.llm import decontaminate, exact_dedup, packing, simhash
+from tessella.llm import decontaminate, exact_dedup, packing, simhash, toxicity
 
 QUERIES = {
+    "op2_toxicity": toxicity.op2_toxicity,
     "op5_decontamination": decontaminate.op5_decontamination,
     "op6_packing": packing.op6_packing,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
