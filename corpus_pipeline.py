@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm.common import cut, table
 from tessella.llm.decontaminate import contaminated
-from tessella.llm.exact_dedup import exact_duplicates
+from tessella.llm.exact_dedup import exact_duplicates, normalised
 from tessella.llm.packing import pack
 from tessella.llm.simhash import near_duplicates
 from tessella.llm.toxicity import fit, toxicity
@@ -31,8 +31,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the document with the smallest doc_id."""
-    return _without(docs, exact_duplicates(docs).filter("group_size > 1 and not kept and doc_id <> keep_id").select("doc_id")).dropDuplicates()
+    """Of equal texts, the document with the smallest doc_id; of rows that repeat an id and its text, one."""
+    lost = cut(exact_duplicates(docs).filter("not kept and doc_id is not null").select("doc_id", "keep_id", "text_sha256"))
+    rest = docs.withColumn("_sha", F.sha2(normalised(F.col("text")), 256))
+    again = lost.filter("doc_id = keep_id").select("doc_id").distinct()
+    copies = lost.filter("doc_id <> keep_id").select("doc_id", F.col("text_sha256").alias("_sha")).distinct()
+    rest = rest.join(copies, ["doc_id", "_sha"], "left_anti")
+    if not again.isEmpty():  # only rows whose id repeats are compared with each other
+        rest = rest.join(again, "doc_id", "left_anti").unionByName(rest.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "_sha"]))
+    return rest.select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
