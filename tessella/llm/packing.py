@@ -27,7 +27,7 @@ from tessella.llm.common import strings, table
 WINDOW = 2048
 END_ID = 1
 #: Bounds of a worker's memory: words remembered, and bytes of ids held at once.
-WORDS_KEPT = 500_000
+WORDS_KEPT = 250_000
 BUFFER_BYTES = 24 << 20
 OUT_ROWS = 20_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"

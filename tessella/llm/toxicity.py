@@ -33,7 +33,7 @@ LEAST_DOCS = 6
 LEAST_ODDS = 1.5
 PREFIXES = (4, 5, 6)
 ALPHABET = 128
-MEMO = 600_000
+MEMO = 250_000
 #: Readings of signs as letters. Fixed values of leetspeak.
 LEET = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "bg", "7": "t", "8": "b", "9": "g",
@@ -153,6 +153,11 @@ def restored(token: str, decoder: Decoder) -> list[str]:
     return list(dict.fromkeys([plain, *decoder.restore(plain)])) if _RUN(plain) else [plain]
 
 
+def _collapsed(word: str) -> str:
+    """Every run of one character made single."""
+    return re.sub(r"(.)\1+", r"\1", word)
+
+
 def features(word: str) -> list[str]:
     return ["=" + word, *("^" + word[:n] for n in PREFIXES if len(word) >= n)]
 
@@ -269,10 +274,18 @@ def _scores(model: dict):
             held.clear()
             held[model["key"]] = {}
         decoder, known, weights, kept = Decoder(model["characters"]), model["features"], model["weights"], held[model["key"]]
+        # A word of letters alone has readings that differ from it in the length of runs only. If no known feature
+        # begins it even with runs made single, none of its readings has one, and it needs no search.
+        single = {_collapsed(f[1:]) for f in known}
+        lengths = sorted({len(x) for x in single})
 
         class Memo(dict):
             def __missing__(self, token: str) -> tuple[str, ...]:
-                out = tuple(f for w in restored(token, decoder) for f in features(w) if f in known)
+                bare = _PLAIN(plain := token.strip(_EDGES).rstrip("!"))
+                if bare and not any(_collapsed(plain)[:n] in single for n in lengths):
+                    out: tuple[str, ...] = ()
+                else:
+                    out = tuple(f for w in restored(token, decoder) for f in features(w) if f in known)
                 self[token] = out
                 return out
 
