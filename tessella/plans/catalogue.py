@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import identity as ids
 from tessella.functions import text as tx
-from tessella.operators import gates, merge, policy, splice, states
+from tessella.operators import extraction, gates, merge, policy, splice, states
 from tessella.plans import relations as rel
 from tessella.plans.relations import sql
 
@@ -552,3 +552,90 @@ def override_staleness(spark, d):
     recorded = F.when(F.col("doc_id") % 4 == 0, ids.source_hash(F.concat("text", F.lit("old")))).otherwise(ids.source_hash(F.col("text")))
     overrides = docs.filter("doc_id % 2 = 0").select(F.col("doc_id").cast("string").alias("container_id"), recorded.alias("source_slide_hash"))
     return gates.override_standing(overrides, slides).select("doc_id", "standing")
+
+
+# Locators, over files made of the tables' text
+
+
+_PLAIN = "trim(regexp_replace(substr(text, 1, 60), '[^A-Za-z]+', ' '{g}))"
+
+
+def _turns(spark, d):
+    """Turns of conversations with plain words in them, lower-case so that nothing reads as markup."""
+    c = rel.table(spark, d, "conversations").select("conv_id", "turn", F.expr(f"lower({_PLAIN.format(g='')})").alias("said"))
+    return c.filter("length(said) >= 3")
+
+
+_TURNS = "t as (select conv_id, turn, lower(" + _PLAIN.format(g=", 'g'") + ") as said from conversations), s as (select * from t where length(said) >= 3)"
+
+
+def _decks(spark, d):
+    slide = F.concat(F.lit("---\nslideId: c"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string"), F.lit("\ntitle: "), F.concat(F.lit('"'), F.col("said"), F.lit('"')), F.lit("\n---\n# "), "said", F.lit("\n\n- "), "said", F.lit("\n\n<!-- "), "said", F.lit(" -->\n"))
+    rows = _turns(spark, d).groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", slide.alias("slide")))).alias("s"))
+    return rows.select(F.lit("slides").alias("surface"), F.concat(F.lit("slides/"), F.col("conv_id").cast("string"), F.lit(".md")).alias("path"), F.array_join(F.transform("s", lambda x: x["slide"]), "").alias("text"), F.lit(0).alias("ord"))
+
+
+@query("deck_split", f"with {_TURNS} select 'slides/' || conv_id || '.md' as path, count(*) as slides from s group by conv_id")
+def deck_split(spark, d):
+    found = extraction.located(_decks(spark, d))
+    return found.filter("what = 'container'").groupBy("path").agg(F.count("*").alias("slides"))
+
+
+@query(
+    "deck_prose",
+    f"with {_TURNS}, k as (select * from (values ('fm/title'), ('body/h1-1/title'), ('body/h1-1/l-1/li-1/p-1'), ('note/p-1')) as v(k)) select 'slides:c' || conv_id || '-' || turn || ':' || k as unit_id, 'slides/' || conv_id || '.md' as section, said as source, 'sha256:' || substr(sha256(said), 1, 16) as source_hash from s cross join k",
+)
+def deck_prose(spark, d):
+    return extraction.units(extraction.located(_decks(spark, d))).select("unit_id", "section", "source", "source_hash")
+
+
+def _labs(spark, d):
+    turn = F.concat(F.lit("## "), "said", F.lit("\n\n"), "said", F.lit("\nand more\n\n> "), "said", F.lit("\n\n| a | b |\n|---|---|\n| "), "said", F.lit(" | `x` |\n\n```\ncode\n```\n\n"))
+    rows = _turns(spark, d).groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", turn.alias("part")))).alias("s"))
+    text = F.concat(F.lit("<!-- labId: lab-"), F.col("conv_id").cast("string"), F.lit(" -->\n\n"), F.array_join(F.transform("s", lambda x: x["part"]), ""))
+    return rows.select(F.lit("labs").alias("surface"), F.concat(F.lit("labs/"), F.col("conv_id").cast("string"), F.lit(".md")).alias("path"), text.alias("text"), F.lit(0).alias("ord"))
+
+
+@query(
+    "lab_prose",
+    f"""with {_TURNS}, n as (select *, row_number() over (partition by conv_id order by turn) as h from s),
+    k as (select * from (values ('title', ''), ('p-1', chr(10) || 'and more'), ('bq-1/p-1', ''), ('t-1/r-1/c-1', 'a'), ('t-1/r-1/c-2', 'b'), ('t-1/r-2/c-1', '')) as v(k, x))
+    select 'labs:lab-' || conv_id || ':body/h2-' || h || '/' || k as unit_id, case when x in ('a', 'b') then x else said || x end as source from n cross join k""",
+)
+def lab_prose(spark, d):
+    return extraction.units(extraction.located(_labs(spark, d))).select("unit_id", "source")
+
+
+def _banks(spark, d):
+    q = F.struct(
+        F.concat(F.lit("S01-Q-"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("id"), F.lit("s").alias("section"), F.concat("said", F.lit(' "?"\n')).alias("prompt"),
+        F.array(F.struct(F.lit("a").alias("id"), F.col("said").alias("text"), F.lit("é").alias("rationale"))).alias("options"), F.lit("a").alias("answer"), F.lit("why").alias("explanation"),
+        F.lit("x").alias("difficulty"), F.lit("y").alias("learningObjective"), F.array(F.lit("z")).alias("references"),
+    )
+    rows = _turns(spark, d).groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", q.alias("q")))).alias("s"))
+    text = F.to_json(F.struct(F.lit(1).alias("schemaVersion"), F.transform("s", lambda x: x["q"]).alias("questions")))
+    return rows.select(F.lit("quiz").alias("surface"), F.concat(F.lit("quiz/"), F.col("conv_id").cast("string"), F.lit(".json")).alias("path"), text.alias("text"), F.lit(0).alias("ord"))
+
+
+@query(
+    "quiz_units",
+    f"""with {_TURNS}, k as (select * from (values ('prompt'), ('explanation'), ('option/a/text'), ('option/a/rationale')) as v(k))
+    select 'quiz:S01-Q-' || conv_id || '-' || turn || ':' || k as unit_id, case k when 'prompt' then said || ' "?"' || chr(10) when 'explanation' then 'why' when 'option/a/text' then said else 'é' end as source from s cross join k""",
+)
+def quiz_units(spark, d):
+    return extraction.units(extraction.located(_banks(spark, d), "kubernetes-workshop")).select("unit_id", "source")
+
+
+@query("duplicate_containers", "with x as (select distinct 'labs:c-' || conv_id as container, 'labs/' || role || '.md' as path, case role when 'system' then 0 when 'user' then 1 when 'assistant' then 2 else 3 end as ord from conversations) select container, string_agg(path, '|' order by ord, path) as paths from x group by container having count(*) > 1")
+def duplicate_containers(spark, d):
+    c = rel.table(spark, d, "conversations")
+    rank = F.when(F.col("role") == "system", 0).when(F.col("role") == "user", 1).when(F.col("role") == "assistant", 2).otherwise(3)
+    rows = c.select(F.lit("container").alias("what"), F.concat(F.lit("labs:c-"), F.col("conv_id").cast("string")).alias("unit_id"), F.concat(F.lit("labs/"), "role", F.lit(".md")).alias("path"), rank.alias("ord"))
+    return extraction.duplicate_containers(rows).select("container", F.array_join("paths", "|").alias("paths"))
+
+
+@query("duplicate_declared_ids", "with x as (select 'id-' || (p_partkey % 50) as id, p_brand as path, p_size as line, p_partkey as ord from part) select id, string_agg(path || ':' || line, ' and ' order by ord, line) as places from x group by id having count(*) > 1")
+def duplicate_declared_ids(spark, d):
+    p = rel.table(spark, d, "part")
+    rows = p.select(F.concat(F.lit("id-"), (F.col("p_partkey") % 50).cast("string")).alias("id"), F.col("p_brand").alias("path"), F.col("p_size").alias("line"), F.col("p_partkey").alias("ord"))
+    return extraction.duplicate_ids(rows)
