@@ -143,13 +143,13 @@ class Parser:
     def __init__(self, footnotes: bool = False) -> None:
         self.footnotes = footnotes
 
-    def starts_block(self, line: Line) -> bool:
-        """A line that ends a paragraph."""
+    def starts_block(self, line: Line, outside: bool = False) -> bool:
+        """A line that ends a paragraph. ``outside``: the line is beyond the paragraph's container, where any list begins."""
         if line.indent() > 3:
             return False
         text = line.bare().text
         return bool(
-            text.startswith(">") or ATX.match(text) or RULE.match(text) or _fence(line) or _bullet(line, True) or _html_kind(line, True) is not None
+            text.startswith(">") or ATX.match(text) or RULE.match(text) or _fence(line) or _bullet(line, not outside) or _html_kind(line, True) is not None
             or (self.footnotes and FOOTNOTE.match(text))
         )
 
@@ -242,7 +242,7 @@ class Parser:
         while i < len(lines):
             mine = take(lines[i]) if not lines[i].lazy else None
             if mine is None:
-                if lines[i].blank or self.starts_block(lines[i]) or not self._tail_is_paragraph(own):
+                if lines[i].blank or self.starts_block(lines[i], outside=True) or not self._tail_is_paragraph(own):
                     break
                 mine = with_(lines[i], lazy=True)
             own.append(mine)
