@@ -22,18 +22,24 @@ FIELD = "<*>"
 BROADCAST_ROWS = 400_000
 
 
-def _masked(line: Column) -> Column:
+def _tokens(line: Column) -> Column:
     """A line's tokens, those with a digit as FIELD."""
-    return F.array_remove(F.split(F.regexp_replace(line, r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*", FIELD), SPACE + "+"), "")
+    masked = F.when(line.rlike("[0-9]"), F.regexp_replace(line, r"(?:[^\x20\x09-\x0D0-9]*+)[0-9][^\x20\x09-\x0D]*+", FIELD)).otherwise(line)
+    return F.array_remove(F.split(masked, SPACE + "+"), "")
+
+
+def _leaf(tokens: Column) -> Column:
+    """A leaf's key: the number of tokens and the first DEPTH."""
+    return F.concat_ws(" ", F.size(tokens).cast("string"), F.concat_ws(" ", F.slice(tokens, 1, DEPTH)))
 
 
 def _lines(docs: DataFrame, text: str) -> DataFrame:
-    """(doc, sha, number, leaf, masked): lines that have tokens. doc is null-safe: the id as text, or empty."""
+    """(doc, sha, number, line, h): h the hash of the line's leaf. doc is null-safe: the id as text, or empty."""
     t = whole(F.col(text))
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("doc"), F.sha2(t, 256).alias("sha"), F.posexplode_outer(F.split(t, "\n")).alias("number", "line"))
-    rows = rows.select("doc", "sha", "number", _masked(F.col("line")).alias("tokens"))
-    head = F.concat_ws(" ", F.slice("tokens", 1, DEPTH))
-    return rows.select("doc", "sha", "number", F.concat_ws(" ", F.size("tokens").cast("string"), head).alias("leaf"), F.concat_ws(" ", "tokens").alias("masked")).filter("masked <> ''")
+    # What a document has once is made before its lines are dealt out: beside an explode it would be made for each line.
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("doc"), F.sha2(t, 256).alias("sha"), F.split(t, "\n").alias("l"))
+    rows = rows.select("doc", "sha", F.posexplode_outer("l").alias("number", "line"))
+    return rows.select("doc", "sha", "number", "line", F.xxhash64(_leaf(_tokens(F.col("line")))).alias("h"))
 
 
 def _shared(rows: DataFrame, key: list[str], least: int) -> DataFrame:
@@ -44,9 +50,11 @@ def _shared(rows: DataFrame, key: list[str], least: int) -> DataFrame:
 def template_lines(docs: DataFrame, text: str = "text", least_docs: int = LEAST_DOCS) -> DataFrame:
     """(doc, sha, number, template) for each line that is dropped."""
     lines = _lines(docs, text)
-    leaves = cut(_shared(lines.withColumn("leaf", F.xxhash64("leaf")), ["leaf"], least_docs).select(F.col("leaf").alias("h")))
-    some = lines.withColumn("h", F.xxhash64("leaf")).join(bounded_broadcast(leaves, leaves.count(), BROADCAST_ROWS), "h").drop("h")
-    some = cut(some)
+    leaves = cut(_shared(lines, ["h"], least_docs).select("h"))
+    # The tokens are made again after the join, for the lines that are left; a filter before it would make them twice for all.
+    some = lines.join(bounded_broadcast(leaves, leaves.count(), BROADCAST_ROWS), "h").select("doc", "sha", "number", F.array(_tokens(F.col("line"))).alias("tokens"))
+    some = some.select("doc", "sha", "number", F.explode_outer("tokens").alias("tokens"))
+    some = cut(some.select("doc", "sha", "number", _leaf(F.col("tokens")).alias("leaf"), F.concat_ws(" ", "tokens").alias("masked"))).filter("masked <> ''")
     kinds = cut(some.select("leaf", "masked", "doc").distinct().groupBy("leaf", "masked").agg(F.count("*").alias("docs")))
     tokens = kinds.select("leaf", "masked", "docs", F.posexplode_outer(F.split("masked", " ")).alias("place", "token"))
     held = cut(tokens.groupBy("leaf", "place", "token").agg(F.sum("docs").alias("held")).filter(F.col("held") >= least_docs).filter(F.col("token") != FIELD).select("leaf", "place", "token", F.lit(True).alias("constant")))
