@@ -33,9 +33,10 @@ def _block_names(docs: DataFrame, text: str, block_bytes: int) -> DataFrame:
     """(doc_id, sha, n, pos, name) for every block of every text."""
     body = docs.select("doc_id", normalised(F.col(text)).alias("t")).select("doc_id", F.sha2("t", 256).alias("sha"), F.col("t").cast("binary").alias("t"))
     n = F.greatest(F.lit(1), F.ceil(F.octet_length("t") / block_bytes)).cast("int")
+    # posexplode_outer: for posexplode the optimiser infers a filter that normalises the text a second time.
     blocks = body.select(
         "doc_id", "sha", n.alias("n"),
-        F.posexplode(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(F.col("t"), i * block_bytes + 1, F.lit(block_bytes)))).alias("pos", "block"),
+        F.posexplode_outer(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(F.col("t"), i * block_bytes + 1, F.lit(block_bytes)))).alias("pos", "block"),
     ).withColumn("h", F.xxhash64("block"))
     places = cut(blocks.select("doc_id", "sha", "n", "pos", "h"))
     variants = cut(blocks.select("h", "block").distinct().groupBy("h").agg(F.count("*").alias("variants")))

@@ -8,7 +8,8 @@ Fixed patterns give the base spans. The battery adds spans of tokens that look r
 * Against language: its index of coincidence under the letter frequencies of the corpus's own long words, as a z score.
   The standard deviation falls with the length, so the same shape counts for more in a longer token. Over all tokens of
   the corpus the Benjamini-Hochberg rule sets the z score that keeps the share of false discoveries at FALSE_SHARE. The
-  rule runs over a histogram of fixed size.
+  rule runs over a histogram of fixed size. Tokens of letters in one case are what language is measured by; they count
+  in the rule and are never spans themselves.
 
 Spark's regex functions give matches without places. The pieces between matches do: a running sum over a document's
 pieces and matches gives every start, in code points.
@@ -63,7 +64,7 @@ def _occurrences(docs: DataFrame, text: str) -> DataFrame:
         return F.struct(F.lit(kind).alias("kind"), F.when(t.rlike(pattern), found).otherwise(nothing).alias("found"))
 
     kinds = F.array(matches(0, ASSIGN, 2), matches(1, ACCESS, 0), matches(2, HEX, 0), matches(3, TOKEN, 0))
-    rows = docs.select("doc_id", whole(F.col(text)).alias("t")).select("doc_id", F.sha2("t", 256).alias("sha"), F.explode_outer(kinds).alias("k"))
+    rows = docs.select("doc_id", whole(F.col(text)).alias("t")).select("doc_id", F.sha2("t", 256).alias("sha"), kinds.alias("kinds")).select("doc_id", "sha", F.explode_outer("kinds").alias("k"))
     rows = rows.select("doc_id", "sha", "k.kind", F.posexplode_outer("k.found").alias("nth", "m")).filter("nth is not null")
     rows = rows.select("doc_id", "sha", "kind", "nth", F.col("m.before").cast("long").alias("before"), "m.token", F.length("m.secret").alias("secret"), F.length("m.token").cast("long").alias("length"))
     so_far = W.partitionBy("doc_id", "sha", "kind").orderBy("nth").rowsBetween(W.unboundedPreceding, 0)
@@ -114,16 +115,16 @@ def _battery(tokens: DataFrame) -> DataFrame:
             F.size(F.filter("v", lambda x: x * 2 < F.col("k"))).alias("low"),
         )
     )
-    n, df = F.col("n"), (F.col("k") - 1)
+    n, df = F.col("n").cast("double"), (F.col("k") - 1)
     chi = F.col("k") / n * F.col("squares") - n
     z_chi = (F.pow(F.greatest(chi, F.lit(0.0)) / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))
-    n1, n2 = F.col("low"), n - F.col("low")
+    n1, n2 = F.col("low").cast("double"), n - F.col("low")
     expected = 1 + 2 * n1 * n2 / n
     variance = (expected - 1) * (expected - 2) / (n - 1)
     z_runs = F.when(variance > 0, (F.col("runs") - expected) / F.sqrt(variance)).otherwise(F.lit(9.0))
     z_serial = F.when(F.col("spread") > 0, F.col("product") / F.col("spread") * F.sqrt(n)).otherwise(F.lit(9.0))
     least = F.least(upper_tail(z_chi), 2 * upper_tail(F.abs(z_runs)), 2 * upper_tail(F.abs(z_serial)))
-    return sums.select("token", "encoding", "n", ((F.col("plain_squares") - n) / (n * (n - 1))).alias("coincidence"), (3 * least).alias("p_random"))
+    return sums.select("token", "encoding", F.col("n").cast("double").alias("n"), ((F.col("plain_squares") - n) / (n * (n - 1))).alias("coincidence"), (3 * least).alias("p_random"))
 
 
 def _random_tokens(occurrences: DataFrame) -> DataFrame:
@@ -136,12 +137,12 @@ def _random_tokens(occurrences: DataFrame) -> DataFrame:
     cubes = F.pow(c, F.lit(1.5)) * (CUBES / COINCIDENCE**1.5)  # the cube sum of a language's frequencies follows its square sum
     deviation = F.sqrt(F.greatest(4 * (cubes - c * c) / n, F.lit(0.0)) + 2 * c / (n * (n - 1)))
     scored = tested.crossJoin(F.broadcast(usual)).withColumn("z", (c - F.col("coincidence")) / deviation)  # one row
-    scored = cut(scored.select("token", "p_random", "z", F.least(F.greatest(F.floor(F.col("z") / STEP), F.lit(0)), F.lit(BINS)).cast("int").alias("bin")))
+    scored = cut(scored.select("token", "encoding", "p_random", "z", F.least(F.greatest(F.floor(F.col("z") / STEP), F.lit(0)), F.lit(BINS)).cast("int").alias("bin")))
     bins = scored.groupBy("bin").agg(F.count("*").alias("here"))  # BINS + 1 rows at most
     above = F.sum("here").over(W.orderBy(F.desc("bin")).rowsBetween(W.unboundedPreceding, 0))
     ranked = bins.select("bin", above.alias("rank"), F.sum("here").over(W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("all"))
     cutoff = ranked.filter(upper_tail(F.col("bin") * STEP) <= FALSE_SHARE * F.col("rank") / F.col("all")).agg(F.min("bin").alias("cutoff"))
-    return scored.crossJoin(F.broadcast(cutoff)).filter((F.col("bin") >= F.col("cutoff")) & (F.col("p_random") >= LEVEL)).select("token")
+    return scored.crossJoin(F.broadcast(cutoff)).filter((F.col("bin") >= F.col("cutoff")) & (F.col("p_random") >= LEVEL) & (F.col("encoding") != "letters")).select("token")
 
 
 def find_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
