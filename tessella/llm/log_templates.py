@@ -54,18 +54,22 @@ def template_lines(docs: DataFrame, text: str = "text", least_docs: int = LEAST_
     # The tokens are made again after the join, for the lines that are left; a filter before it would make them twice for all.
     some = lines.join(bounded_broadcast(leaves, leaves.count(), BROADCAST_ROWS), "h").select("doc", "sha", "number", F.array(_tokens(F.col("line"))).alias("tokens"))
     some = some.select("doc", "sha", "number", F.explode_outer("tokens").alias("tokens"))
-    some = cut(some.select("doc", "sha", "number", _leaf(F.col("tokens")).alias("leaf"), F.concat_ws(" ", "tokens").alias("masked"))).filter("masked <> ''")
-    kinds = cut(some.select("leaf", "masked", "doc").distinct().groupBy("leaf", "masked").agg(F.count("*").alias("docs")))
-    tokens = kinds.select("leaf", "masked", "docs", F.posexplode_outer(F.split("masked", " ")).alias("place", "token"))
-    held = cut(tokens.groupBy("leaf", "place", "token").agg(F.sum("docs").alias("held")).filter(F.col("held") >= least_docs).filter(F.col("token") != FIELD).select("leaf", "place", "token", F.lit(True).alias("constant")))
+    some = some.select("doc", "sha", "number", F.xxhash64(_leaf(F.col("tokens"))).alias("leaf"), F.concat_ws(" ", "tokens").alias("masked"))
+    some = cut(some.withColumn("kind", F.xxhash64("leaf", "masked"))).filter("masked <> ''")
+    # A kind of line is told by a 64-bit hash, so that its text moves once and not with each of its documents or tokens.
+    counts = some.select("kind", "doc").distinct().groupBy("kind").agg(F.count("*").alias("docs"))
+    kinds = cut(some.groupBy("kind").agg(F.min("leaf").alias("leaf"), F.min("masked").alias("masked")).join(counts, "kind"))
+    tokens = kinds.select("leaf", "kind", "docs", F.posexplode_outer(F.split("masked", " ")).alias("place", "token"))
+    held = tokens.groupBy("leaf", "place", "token").agg(F.sum("docs").alias("held")).filter(F.col("held") >= least_docs).filter(F.col("token") != FIELD)
+    held = cut(held.select("leaf", "place", "token", F.lit(True).alias("constant")))
     parsed = tokens.join(held, ["leaf", "place", "token"], "left").withColumn("said", F.when(F.col("constant"), F.col("token")).otherwise(F.lit(FIELD)))
-    parsed = parsed.groupBy("leaf", "masked").agg(
+    parsed = parsed.groupBy("kind").agg(
         F.concat_ws(" ", F.transform(F.sort_array(F.collect_list(F.struct("place", "said"))), lambda x: x["said"])).alias("template"), F.count("constant").alias("constants"), F.count("*").alias("tokens")
     )
-    parsed = cut(parsed.filter("2 * constants >= tokens").select("leaf", "masked", "template"))
-    told = cut(some.join(parsed, ["leaf", "masked"]).select("doc", "sha", "number", "template"))
-    recurring = cut(_shared(told, ["template"], least_docs).select("template"))
-    return told.join(recurring, "template").select("doc", "sha", "number", "template").distinct()
+    parsed = cut(parsed.filter("2 * constants >= tokens").select("kind", "template", F.xxhash64("template").alias("shape")))
+    told = cut(some.select("doc", "sha", "number", "kind").join(parsed.select("kind", "shape"), "kind").select("doc", "sha", "number", "shape"))
+    recurring = _shared(told, ["shape"], least_docs).select("shape").join(parsed.groupBy("shape").agg(F.min("template").alias("template")), "shape")
+    return told.join(cut(recurring), "shape").select("doc", "sha", "number", "template").distinct()
 
 
 def drop_template_lines(docs: DataFrame, text: str = "text", least_docs: int = LEAST_DOCS) -> DataFrame:
@@ -75,7 +79,7 @@ def drop_template_lines(docs: DataFrame, text: str = "text", least_docs: int = L
     count as one document; all rows with a null doc_id count as one. An empty table gives an empty result; other columns
     are ignored.
     """
-    drop = template_lines(docs, text, least_docs).groupBy("doc", "sha").agg(F.collect_set("number").alias("numbers"))
+    drop = template_lines(docs, text, least_docs).select("doc", "sha", "number").groupBy("doc", "sha").agg(F.collect_set("number").alias("numbers"))
     t = whole(F.col(text))
     rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("doc"), F.sha2(t, 256).alias("sha"), t.alias("t"))
     rows = rows.join(drop, ["doc", "sha"], "left").select("doc_id", F.split("t", "\n").alias("l"), F.coalesce("numbers", F.array().cast("array<int>")).alias("numbers"))
