@@ -32,7 +32,8 @@ BANDS, ROWS = 10, 3
 SEEDS = mix64(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 #: Classes of one bucket that one task compares; a larger bucket is dealt out by blocks that meet each other.
 BUCKET_ROWS = 5_000
-BROADCAST_ROWS = 400_000
+#: Rows of ids, and of colliding buckets, that may be broadcast.
+BROADCAST_ROWS, BUCKETS_BROADCAST = 400_000, 1_000_000
 
 
 def shingle_hashes(words: list[bytes]) -> np.ndarray:
@@ -168,9 +169,10 @@ def similar_paragraphs(docs: DataFrame, text: str = "text", least_words: int = L
     classes = places.groupBy("text_key").agg(F.min(order).alias("first"), F.count("*").alias("copies"), F.min("bands").alias("bands"))
     classes = cut(classes.withColumn("node", F.xxhash64("text_key")))
     keyed = classes.select("node", F.explode_outer("bands").alias("bucket"))
-    shared = keyed.groupBy("bucket").agg(F.count("*").alias("members"), F.bit_xor(F.xxhash64("node")).alias("mark"), F.min("node").alias("least")).filter("members > 1")
-    shared = cut(shared.groupBy("members", "mark", "least").agg(F.min("bucket").alias("bucket")).select("bucket", "members"))
-    members = cut(keyed.join(shared, "bucket"))
+    # Buckets with the same members: as many of them, and the same XOR of their hashes.
+    shared = keyed.groupBy("bucket").agg(F.count("*").alias("members"), F.bit_xor(F.xxhash64("node")).alias("mark")).filter("members > 1")
+    shared = cut(shared.groupBy("members", "mark").agg(F.min("bucket").alias("bucket")).select("bucket", "members"))
+    members = cut(keyed.join(bounded_broadcast(shared, shared.count(), BUCKETS_BROADCAST), "bucket"))
     heads = cut(
         classes.join(members.select("node").distinct(), "node", "left_semi").select(
             F.col("first.doc_id").alias("doc_id"), F.col("first.para").cast("int").alias("para"), "text_key", "node"
