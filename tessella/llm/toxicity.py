@@ -13,8 +13,6 @@ from __future__ import annotations
 
 import math
 import re
-import sys
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +31,7 @@ LEAST_DOCS = 6
 LEAST_ODDS = 1.5
 PREFIXES = (4, 5, 6)
 ALPHABET = 128
-MEMO = 250_000
+MEMO = 400_000
 #: Readings of signs as letters. Fixed values of leetspeak.
 LEET = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "bg", "7": "t", "8": "b", "9": "g",
@@ -88,14 +86,19 @@ def _trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def character_model(docs: DataFrame, text: str = "text") -> dict[int, float]:
-    """Trigram to its cost in nats, interpolated with bigrams and single characters; key -1 is the cost of the unseen."""
-    rows = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(_trigrams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
+    """Trigram to its cost in nats, interpolated with bigrams and single characters.
+
+    Unseen trigrams cost what their last two characters do, under the key -2 less those; -1 is the cost of the rest.
+    """
+    rows = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(_trigrams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
     tri = np.zeros((ALPHABET,) * 3)
-    for r in rows:  # at most ALPHABET ** 3 of them, whatever the corpus
-        tri.flat[r.gram] = r.n
+    tri.flat[rows["gram"].to_numpy()] = rows["n"].to_numpy()  # at most ALPHABET ** 3 of them, whatever the corpus
     bi, uni = tri.sum(0), tri.sum((0, 1))
-    p = 0.75 * tri / np.maximum(tri.sum(2, keepdims=True), 1) + 0.2 * (bi / np.maximum(bi.sum(1, keepdims=True), 1))[None] + 0.05 * (uni / max(1, uni.sum()))[None, None]
-    return {-1: 14.0} | {int(g): float(-math.log(max(1e-6, p.flat[g]))) for g in np.flatnonzero(bi[None] * np.ones((ALPHABET, 1, 1)) > 0)}
+    pair = 0.2 * bi / np.maximum(bi.sum(1, keepdims=True), 1) + 0.05 * (uni / max(1, uni.sum()))[None]
+    seen, pairs = np.flatnonzero(tri), np.flatnonzero(bi)
+    p = (0.75 * tri / np.maximum(tri.sum(2, keepdims=True), 1)).flat[seen] + pair.flat[seen % ALPHABET**2]
+    costs = {-1: 14.0} | {-2 - int(g): float(-np.log(pair.flat[g])) for g in pairs}
+    return costs | dict(zip(seen.tolist(), (-np.log(p)).tolist(), strict=True))
 
 
 class Decoder:
@@ -118,6 +121,7 @@ class Decoder:
 
     def restore(self, raw: str) -> list[str]:
         """The words of the cheapest reading of ``raw``, which is lower-case."""
+        costs = self.cost
         best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
         units = [(m[0][0], len(m[0])) for m in re.finditer(r"(.)\1*", raw, re.DOTALL)]
         for c, run in [*units, (" ", 0)]:
@@ -128,7 +132,8 @@ class Decoder:
                     for ch in reading:
                         z = 0 if ch == " " else self.id.get(ch, ALPHABET - 1)
                         if z or y:
-                            cost += self.cost.get((x * ALPHABET + y) * ALPHABET + z, self.unseen)
+                            step = costs.get((x * ALPHABET + y) * ALPHABET + z)
+                            cost += costs.get(-2 - (y * ALPHABET + z), self.unseen) if step is None else step
                         x, y = (y, z) if z else (0, 0)
                     if (x, y) not in after or cost < after[x, y][0]:
                         after[x, y] = (cost, said + reading)
@@ -247,7 +252,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", sample: int = SA
         if not own & seen:  # no near copy of an earlier one
             kept.setdefault(r.doc_id, r.toxic)
         seen |= own
-    model = {"key": uuid.uuid4().hex, "characters": characters, "features": {}, "weights": [-3.0, 0.0, 0.0, 0.0]}
+    model = {"characters": characters, "features": {}, "weights": [-3.0, 0.0, 0.0, 0.0]}
     toxic = sum(kept.values())
     clean = len(kept) - toxic
     if not toxic or not clean:
@@ -269,11 +274,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", sample: int = SA
 
 def _scores(model: dict):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = vars(sys).setdefault("_tessella_toxic", {})  # kept by the worker process from task to task
-        if model["key"] not in held:
-            held.clear()
-            held[model["key"]] = {}
-        decoder, known, weights, kept = Decoder(model["characters"]), model["features"], model["weights"], held[model["key"]]
+        decoder, known, weights = Decoder(model["characters"]), model["features"], model["weights"]
         # A word of letters alone has readings that differ from it in the length of runs only. If no known feature
         # begins it even with runs made single, none of its readings has one, and it needs no search.
         single = {_collapsed(f[1:]) for f in known}
@@ -281,15 +282,17 @@ def _scores(model: dict):
 
         class Memo(dict):
             def __missing__(self, token: str) -> tuple[str, ...]:
-                bare = _PLAIN(plain := token.strip(_EDGES).rstrip("!"))
-                if bare and not any(_collapsed(plain)[:n] in single for n in lengths):
-                    out: tuple[str, ...] = ()
+                plain = token.strip(_EDGES).rstrip("!")
+                if plain.isalpha():
+                    one = _collapsed(plain) if _RUN(plain) else plain
+                    search = any(one[:n] in single for n in lengths)
                 else:
-                    out = tuple(f for w in restored(token, decoder) for f in features(w) if f in known)
+                    search = True
+                out = tuple(f for w in restored(token, decoder) for f in features(w) if f in known) if search else ()
                 self[token] = out
                 return out
 
-        memo = kept.setdefault("memo", Memo())
+        memo = Memo()  # of this task: a worker that lives on for other stages keeps none of it
         for batch in batches:
             scores = []
             for text in strings(batch.column(1)):
