@@ -77,16 +77,15 @@ def with_required(statuses: DataFrame) -> DataFrame:
     return statuses if "required" in statuses.columns else statuses.withColumn("required", F.lit(True))
 
 
-def locales_frame(units: DataFrame, locales: list[str]) -> DataFrame:
-    """One row per declared locale: as many as the manifest lists."""
-    return units.sparkSession.createDataFrame([(x,) for x in locales], "locale string")
+def in_locales(units: DataFrame, locales: list[str]) -> DataFrame:
+    """``units`` once for each declared locale: a narrow step, as the manifest lists them."""
+    return units.withColumn("locale", F.explode(F.array(*map(F.lit, locales)).cast("array<string>")))
 
 
 def statuses_for_locales(units: DataFrame, known: DataFrame, locales: list[str]) -> DataFrame:
     """Every source unit in every locale with its known state, or missing. Known units without a source are dropped."""
     states = known.filter(F.col("locale").isin(*locales)).select("locale", "unit_id", "state") if locales else known.limit(0).select("locale", "unit_id", "state")
-    every = units.crossJoin(F.broadcast(locales_frame(units, locales)))  # the manifest bounds it
-    rows = every.join(states, ["locale", "unit_id"], "left").withColumn("state", F.coalesce("state", F.lit("missing")))
+    rows = in_locales(units, locales).join(states, ["locale", "unit_id"], "left").withColumn("state", F.coalesce("state", F.lit("missing")))
     return rows.select("locale", "unit_id", "section", "state", *(["required"] if "required" in units.columns else []))
 
 
