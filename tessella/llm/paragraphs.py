@@ -27,7 +27,7 @@ from tessella.llm.components import components
 LEAST_WORDS = 20
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
-#: 1 - (1 - 0.8 ** 3) ** 10 = 0.9992 for a pair at the threshold, 0.9999997 at 0.9.
+#: 1 - (1 - 0.8 ** 3) ** 10 = 0.9992 for a pair at the threshold, 0.999998 at 0.9.
 BANDS, ROWS = 10, 3
 SEEDS = mix64(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 #: Classes of one bucket that one task compares; a larger bucket is dealt out by blocks that meet each other.
