@@ -8,17 +8,22 @@ exact Jaccard similarity, and the components of the links are the clusters. In a
 A bucket's members are read as one run of sorted rows; similar members join one group, so that a bucket of many near
 copies costs each member a few comparisons and gives one link each, not all pairs. Buckets with the same members are
 verified once.
+
+Passages don't hang on line ends (``repeated_passages``): the words of the whole text are cut into overlapping units of
+UNIT_WORDS words that begin where a hash is least among UNIT_PLACES neighbours (winnowing). Two texts that share
+UNIT_WORDS + UNIT_PLACES - 1 = 50 words in a row, whatever surrounds them, share a unit.
 """
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.llm.common import SPACE, bounded_broadcast, cut, mix64, table
@@ -34,6 +39,10 @@ SEEDS = mix64(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E37
 BUCKET_ROWS = 5_000
 #: Rows of ids, and of colliding buckets, that may be broadcast.
 BROADCAST_ROWS, BUCKETS_BROADCAST = 400_000, 1_000_000
+#: Words of a passage's unit, and the places among which the least hash chooses its beginning.
+UNIT_WORDS, UNIT_PLACES = 40, 11
+UNITS_BROADCAST, MEMO = 400_000, 600_000
+_R = 0x9E3779B97F4A7C15
 
 
 def shingle_hashes(words: list[bytes]) -> np.ndarray:
@@ -200,5 +209,102 @@ def similar_paragraphs(docs: DataFrame, text: str = "text", least_words: int = L
     return out.select("doc_id", "para", "start", "length", "class_id", "cluster_id", "copies", "links", first.alias("kept"))
 
 
+class WordHashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        self[word] = h = xxhash.xxh64_intdigest(word)
+        return h
+
+
+_powers = [np.cumprod(np.full(1 << 15, x, np.uint64)) for x in (_R, pow(_R, -1, 1 << 64))]
+
+
+def units(text: str, words: WordHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
+    """Hash, first and last code point (exclusive) and line of each unit; none in texts of under 50 words."""
+    raw = text.encode("utf-8", "replace")
+    found = raw.lower().split()
+    n = len(found) - UNIT_WORDS + 1
+    if n < UNIT_PLACES:
+        return None
+    if len(words) > MEMO:
+        words.clear()
+    if len(found) > len(_powers[0]):
+        _powers[:] = [np.cumprod(np.full(2 * len(found), x, np.uint64)) for x in (_R, pow(_R, -1, 1 << 64))]
+    # a window's polynomial hash is a difference of prefix sums, moved back to power 0
+    sums = np.zeros(len(found) + 1, np.uint64)
+    np.cumsum(np.fromiter((words[w] for w in found), np.uint64, len(found)) * _powers[0][: len(found)], out=sums[1:])
+    hashes = mix64((sums[UNIT_WORDS:] - sums[:-UNIT_WORDS]) * _powers[1][:n])
+    least = np.lib.stride_tricks.sliding_window_view(hashes, UNIT_PLACES).argmin(axis=1)
+    at = np.unique(least + np.arange(len(least)))
+    x = np.frombuffer(raw, np.uint8)
+    blank = np.concatenate([[True], (x == 32) | ((x >= 9) & (x <= 13)), [True]])
+    begin, end = np.flatnonzero(blank[:-1] & ~blank[1:]), np.flatnonzero(~blank[:-1] & blank[1:])
+    points = np.concatenate([[0], np.cumsum((x & 0xC0) != 0x80)])
+    breaks = np.flatnonzero(x == 10)
+    first = begin[at]
+    return hashes[at], points[first], points[end[at + UNIT_WORDS - 1]], np.searchsorted(breaks, first)
+
+
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    words = WordHashes()
+    for batch in batches:
+        rows, held = [], 0
+        for at, (row, doc, value) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True), 1):
+            if found := units(value.as_py() or "", words):
+                rows.append((row, doc, found[0].view(np.int64), *(x.astype(np.int32) for x in found[1:])))
+                held += len(found[0])
+            if rows and (held > 100_000 or at == batch.num_rows):
+                columns = list(zip(*rows, strict=True))
+                offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in columns[2]])]).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x))) for x in columns[2:]]
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), *lists], ["row", "doc_id", "hashes", "starts", "ends", "paras"])
+                rows, held = [], 0
+
+
+def repeated_passages(docs: DataFrame, text: str = "text", broadcast_rows: int = UNITS_BROADCAST) -> DataFrame:
+    """One row per passage that repeats word for word (ASCII case aside), with the columns of ``similar_paragraphs``.
+
+    Every passage of 50 words that two places share, in one text or two, is in both of their rows but for up to
+    UNIT_PLACES - 1 words at an end; a row has UNIT_WORDS words at least. A unit's first place, by doc_id (null last), is
+    kept. Overlapping kept units are one passage and name a cluster; the cluster's other rows are the passages elsewhere
+    that repeat it or a part of it. Equal passages share class_id; ``copies`` counts the passages of a class. ``para`` is
+    the line in which the passage begins. Words that a kept passage has too, at an end, stay.
+    """
+    own = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    found = cut(own.mapInArrow(_units, "row long, doc_id long, hashes array<long>, starts array<int>, ends array<int>, paras array<int>"))
+    each = found.select("row", "doc_id", F.explode(F.arrays_zip("hashes", "starts", "ends", "paras")).alias("u"))
+    each = each.select("row", "doc_id", F.col("u.hashes").alias("unit"), F.col("u.starts").alias("start"), F.col("u.ends").alias("end"), F.col("u.paras").alias("para"))
+    shared = cut(found.select(F.explode("hashes").alias("unit")).groupBy("unit").count().filter("count > 1").select("unit"))
+    hits = cut(each.join(bounded_broadcast(shared, number := shared.count(), broadcast_rows), "unit"))
+    heads = hits.groupBy("unit").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "start")).alias("head"))
+    heads = heads.select("unit", F.col("head.row").alias("head_row"), F.col("head.start").alias("head_start"))
+    kept = F.col("row").eqNullSafe(F.col("head_row")) & F.col("start").eqNullSafe(F.col("head_start"))
+    hits = cut(hits.join(bounded_broadcast(heads, number, broadcast_rows), "unit").withColumn("kept", kept).drop("head_row", "head_start"))
+
+    def passages(rows: DataFrame, *keys: str) -> DataFrame:
+        """``rows`` with the first place of the passage that each is in: overlapping units with equal keys."""
+        order = Window.partitionBy("row", *keys).orderBy("start")
+        begins = F.coalesce(F.col("start") >= F.lag("end").over(order), F.lit(True))
+        return rows.withColumn("_from", F.when(begins, F.col("start"))).withColumn("from", F.last("_from", True).over(order)).drop("_from")
+
+    first = passages(hits.filter("kept")).withColumn("cluster_id", F.xxhash64("row", "from"))
+    names = first.select("unit", "cluster_id")
+    rest = passages(hits.filter("not kept").join(bounded_broadcast(names, number, broadcast_rows), "unit"), "cluster_id")
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("start", "unit"))), lambda x: x["unit"])
+    whole = first.unionByName(rest).groupBy("row", "cluster_id", "from", "kept").agg(
+        F.first("doc_id").alias("doc_id"), F.min("para").cast("long").alias("para"), F.min("start").cast("long").alias("start"), F.max("end").alias("end"), F.xxhash64(in_order).alias("class_id"),
+    )
+    whole = cut(whole.select("doc_id", "para", "start", (F.col("end") - F.col("start")).alias("length"), "class_id", "cluster_id", "kept"))
+    sizes = whole.groupBy("cluster_id", "class_id").agg(F.count("*").alias("copies"))
+    mixed = sizes.groupBy("cluster_id").agg((F.count("*") > 1).cast("long").alias("links"))
+    out = whole.join(sizes, ["cluster_id", "class_id"]).join(mixed, "cluster_id")
+    return out.select("doc_id", "para", "start", "length", "class_id", "cluster_id", "copies", "links", "kept")
+
+
 def op1_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar_paragraphs(table(spark, sf_dir, "documents"))
+    """Similar lines (``unit`` line) and repeated passages (``unit`` passage); each kind has clusters of its own."""
+    docs = table(spark, sf_dir, "documents")
+    lines = similar_paragraphs(docs)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()  # what the lines shuffled is done with; Spark deletes it once the driver's handles are gone
+    passages = repeated_passages(docs)
+    return lines.withColumn("unit", F.lit("line")).unionByName(passages.withColumn("unit", F.lit("passage")))

@@ -98,6 +98,38 @@ def test_paragraphs_cluster_as_by_brute_force(spark, bucket_rows):
     assert all(set(v) == {min(got[k])} for k, v in firsts.items()) and set(firsts) == set(got)
 
 
+@pytest.mark.parametrize("broadcast_rows", [10**6, 0])
+def test_passages_in_longer_lines_and_across_short_ones(spark, broadcast_rows):
+    r = random.Random(11)
+    fresh = lambda n: [f"w{r.randrange(10**9)}é" for _ in range(n)]
+    rows, spots, plants = [], {}, [fresh(50 + 3 * i) for i in range(20)]
+    for i, words in enumerate(plants):
+        for k, breaks in enumerate((10**6, 9, 13)):  # in a longer line, and over lines of 9 and 13 words
+            before = " ".join(fresh(30 + i))
+            passage = "".join(w.upper() if k == 2 and w.isascii() else w + ("\n" if j % breaks == breaks - 1 else " ") for j, w in enumerate(words))
+            rows.append((10 * i + k, f"é {before} {passage}{' '.join(fresh(40))}"))
+            spots[10 * i + k] = (len(before) + 3, len(passage.rstrip()))
+    rows += [(1000 + i, " ".join(fresh(300))) for i in range(20)] + [(None, None), (2000, ""), (2001, "a b")]
+    rows += [(3000, " ".join(plants[0][:30] + fresh(30)))]  # under 40 shared words
+    found = paragraphs.repeated_passages(docs(spark, rows), broadcast_rows=broadcast_rows).collect()
+    assert {x.doc_id for x in found} == set(spots)
+    by_doc, by_cluster = defaultdict(list), defaultdict(list)
+    for x in found:
+        by_doc[x.doc_id].append(x)
+        by_cluster[x.cluster_id].append(x)
+        assert x.para == dict(rows)[x.doc_id][: x.start].count("\n")
+    for i, some in by_doc.items():
+        text, (start, length) = dict(rows)[i], spots[i]
+        a, b = min(x.start for x in some), max(x.start + x.length for x in some)
+        assert start <= a and b <= start + length
+        assert len(text[start:a].split()) < paragraphs.UNIT_PLACES and len(text[b : start + length].split()) < paragraphs.UNIT_PLACES
+        assert all(x.kept for x in some) if i % 10 == 0 else not all(x.kept for x in some)
+    assert all(sum(x.kept for x in some) == 1 and len(some) > 1 for some in by_cluster.values())
+    odd = paragraphs.repeated_passages(docs(spark, [*ODD, (None, prose(70, 90)), (None, prose(70, 90))])).collect()
+    assert sum(x.doc_id is None and x.kept for x in odd) == 1 and {x.doc_id for x in odd} == {None, 7, 8, 9}
+    assert paragraphs.repeated_passages(docs(spark, [])).count() == 0
+
+
 # 2
 
 
