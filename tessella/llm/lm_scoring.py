@@ -1,11 +1,13 @@
 """LM scoring by cross-entropy difference (operator 4).
 
 Two interpolated bigram models are counted over the corpus: the target model over the documents of high quality, the
-background model over all. They are matched: one vocabulary (words hashed into UNIGRAMS slots, pairs into BIGRAMS),
-one smoothing, one estimate. A document's score is the mean over its tokens of the loss under the target model less the
-loss under the background model; below zero it reads more like the target.
+background model over all. They are matched: one vocabulary (every word of the corpus), one smoothing, one estimate. A
+document's score is the mean over its tokens of the loss under the target model less the loss under the background
+model; below zero it reads more like the target.
 
-Each task counts its share in arrays and sends the slots it has seen; the sums have a fixed size, whatever the corpus.
+``pair_losses`` counts each distinct word and pair, told apart by 64-bit hashes, in a table that grows with the corpus;
+``scores`` joins each document's distinct pairs with it. ``count_models`` and ``cross_entropy_difference`` are the same
+estimate over a fixed number of hashed slots, for small corpora; no query uses them.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import bounded_broadcast, strings, table
+from tessella.llm.common import bounded_broadcast, cut, mix64, strings, table
 
 UNIGRAMS, BIGRAMS = 1 << 18, 1 << 20
 WEIGHT = 0.6
@@ -132,6 +134,96 @@ def cross_entropy_difference(docs: DataFrame, seen: np.ndarray, text: str = "tex
     return out.withColumn("score", F.col("target_loss") - F.col("background_loss"))
 
 
+class Hashes(dict):
+    def __missing__(self, word: str) -> int:
+        self[word] = h = xxhash.xxh64_intdigest(word.encode("utf-8", "replace"))
+        return h
+
+
+def _contexts(text: str, words: Hashes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of each lower-cased word's predecessor (0 at the start) and of the word."""
+    if len(words) > MEMO:
+        words.clear()
+    found = text.lower().split()
+    x = np.zeros(len(found) + 1, np.uint64)
+    x[1:] = np.fromiter((words[w] for w in found), np.uint64, len(found))
+    return x[:-1], x[1:]
+
+
+def _pair_keys(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return mix64(mix64(before + np.uint64(0x9E3779B97F4A7C15)) ^ word)
+
+
+def _pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    words = Hashes()
+    held: list[tuple] = []
+    size = 0
+
+    def counted() -> pa.RecordBatch:
+        before, word = (np.concatenate([x[k] for x in held]) for k in (0, 1))
+        target = np.repeat(np.array([x[2] for x in held], bool), [len(x[0]) for x in held])
+        keys, first, place, n = np.unique(_pair_keys(before, word), return_index=True, return_inverse=True, return_counts=True)
+        in_target = np.bincount(place[target], minlength=len(keys))
+        columns = [keys.view(np.int64), before[first].view(np.int64), word[first].view(np.int64), n.astype(np.int64), in_target.astype(np.int64)]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["pair", "before", "word", "n", "t"])
+
+    for batch in batches:
+        for target, text in zip(batch.column(0).to_pylist(), strings(batch.column(1)), strict=True):
+            held.append((*_contexts(text, words), target))
+            size += len(held[-1][0])
+            if size > HELD_TOKENS:
+                yield counted()
+                held, size = [], 0
+    if held:
+        yield counted()
+
+
+def pair_losses(docs: DataFrame, target_ids: DataFrame, text: str = "text") -> DataFrame:
+    """(pair, target_loss, background_loss) of each distinct pair of words in ``docs``; targets: ``target_ids`` (doc_id)."""
+    ids = target_ids.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("id")).distinct().withColumn("target", F.lit(True))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    rows = rows.join(bounded_broadcast(ids, ids.count(), BROADCAST_ROWS), rows["doc_id"] == ids["id"], "left").select(F.coalesce("target", F.lit(False)).alias("target"), "text")
+    sums = rows.mapInArrow(_pair_counts, "pair long, before long, word long, n long, t long").groupBy("pair")
+    counts = cut(sums.agg(F.min("before").alias("before"), F.min("word").alias("word"), F.sum("n").alias("n"), F.sum("t").alias("t")))
+    contexts = counts.groupBy("before").agg(F.sum("n").alias("before_n"), F.sum("t").alias("before_t"))
+    words = cut(counts.groupBy("word").agg(F.sum("n").alias("word_n"), F.sum("t").alias("word_t")))
+    total = words.agg(F.count("*").alias("words"), F.sum("word_n").alias("n"), F.sum("word_t").alias("t")).first()
+
+    def loss(k: str):
+        known = F.when(F.col(f"before_{k}") > 0, F.col(k) / F.col(f"before_{k}")).otherwise(F.lit(0.0))
+        base = (F.col(f"word_{k}") + 1) / F.lit(float((total[k] or 0) + max(total["words"], 1)))
+        return -F.log(WEIGHT * known + (1 - WEIGHT) * base)
+
+    return counts.join(contexts, "before").join(words, "word").select("pair", loss("t").alias("target_loss"), loss("n").alias("background_loss"))
+
+
+def _document_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, doc_id, pair, times); with times 0 and a pair of its own, a row for each document."""
+    words = Hashes()
+    for batch in batches:
+        held, size = [], 0
+        for at, (row, doc, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strings(batch.column(2)), strict=True), 1):
+            keys, times = np.unique(_pair_keys(*_contexts(text, words)), return_counts=True)
+            own = mix64(np.array([row], np.uint64))
+            held.append((row, doc, np.concatenate([own, keys]), np.concatenate([[0], times])))
+            size += len(keys)
+            if size > 200_000 or at == batch.num_rows:
+                many = np.array([len(x[2]) for x in held])
+                docs = pa.array([x[1] for x in held], pa.int64()).take(pa.array(np.repeat(np.arange(len(held)), many)))
+                columns = [pa.array(np.repeat(np.array([x[0] for x in held], np.int64), many)), docs, pa.array(np.concatenate([x[2] for x in held]).view(np.int64)), pa.array(np.concatenate([x[3] for x in held]).astype(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "pair", "times"])
+                held, size = [], 0
+
+
+def scores(docs: DataFrame, losses: DataFrame, text: str = "text") -> DataFrame:
+    """The columns and the contract of ``cross_entropy_difference``, by the table of ``pair_losses`` over the same ``docs``."""
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    each = rows.mapInArrow(_document_pairs, "row long, doc_id long, pair long, times long").join(losses, "pair", "left")
+    summed = each.groupBy("row", "doc_id").agg(F.sum("times").alias("tokens"), *[F.sum(F.col("times") * F.col(k)).alias(k) for k in ("target_loss", "background_loss")])
+    mean = [F.when(F.col("tokens") > 0, F.col(k) / F.col("tokens")).otherwise(F.lit(0.0)).alias(k) for k in ("target_loss", "background_loss")]
+    return summed.select("doc_id", "tokens", *mean).withColumn("score", F.col("target_loss") - F.col("background_loss"))
+
+
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    return cross_entropy_difference(docs, count_models(docs, labels.filter("quality = 1")))
+    return scores(docs, pair_losses(docs, labels.filter("quality = 1")))

@@ -207,6 +207,31 @@ def test_lm_scores_prefer_the_target(spark):
     assert lm_scoring.cross_entropy_difference(docs(spark, []), lm_scoring.count_models(docs(spark, []), spark.createDataFrame([], "doc_id long"))).count() == 0
 
 
+def test_lm_scores_as_by_brute_force_over_every_word_and_pair(spark):
+    r = random.Random(44)
+    rows = [(i, " ".join(f"w{r.randrange(10 ** r.randrange(1, 7))}" for _ in range(3000))) for i in range(200)] + [(1, None), (2, ""), (None, "w1 w2 W1 w2"), (7, "same id, other text"), (7, "same id, other text")]
+    targets = set(range(0, 200, 3))
+    found = lm_scoring.scores(docs(spark, rows), lm_scoring.pair_losses(docs(spark, rows), spark.createDataFrame([(i,) for i in targets] + [(None,)], "doc_id long"))).collect()
+    texts = [(i, ["", *(t or "").lower().split()]) for i, t in rows]
+    pairs, before, words = ([defaultdict(int), defaultdict(int)] for _ in range(3))
+    for i, x in texts:
+        for k in (0, 1) if i in targets else (1,):
+            for a, b in zip(x, x[1:]):
+                pairs[k][a, b] += 1
+                before[k][a] += 1
+                words[k][b] += 1
+    assert len(words[1]) > 150_000 and len(pairs[1]) > 400_000  # far more than fit the slots without sharing
+
+    def loss(k, x):
+        each = [-np.log(0.6 * (pairs[k][a, b] / before[k][a] if before[k][a] else 0) + 0.4 * (words[k][b] + 1) / (sum_[k] + size)) for a, b in zip(x, x[1:])]
+        return sum(each) / len(each) if each else 0.0
+
+    size, sum_ = len(words[1]), [sum(w.values()) for w in words]
+    want = sorted((i or -1, len(x) - 1, round(loss(0, x), 6), round(loss(1, x), 6)) for i, x in texts)
+    assert sorted((x.doc_id or -1, x.tokens, round(x.target_loss, 6), round(x.background_loss, 6)) for x in found) == want
+    assert lm_scoring.scores(docs(spark, []), lm_scoring.pair_losses(docs(spark, []), spark.createDataFrame([], "doc_id long"))).count() == 0
+
+
 # 5
 
 
