@@ -2,14 +2,15 @@
 
 Fixed patterns give the base spans. The battery adds spans of tokens that look random though no pattern names them:
 
-* A token's encoding is inferred from its characters (hex, base 32, letters, letters and digits).
+* A token's encoding is inferred from its characters: hex, base 32, letters and base 36 in one case, and base 62. The
+  signs of base 64 and its URL-safe kind are left out; the letters and digits of a random token are uniform without them.
 * Against randomness: a chi-squared test of uniform use of that alphabet, a runs test about its middle and a serial
   correlation test. A token that any of them rejects (Bonferroni) is not random.
 * Against language: its index of coincidence under the letter frequencies of the corpus's own long words, as a z score.
   The standard deviation falls with the length, so the same shape counts for more in a longer token. Over all tokens of
   the corpus the Benjamini-Hochberg rule sets the z score that keeps the share of false discoveries at FALSE_SHARE. The
-  rule runs over a histogram of fixed size. Tokens of letters in one case are what language is measured by; they count
-  in the rule and are never spans themselves.
+  rule runs over a histogram of fixed size. Tokens of letters in one case are what language is measured by; they are
+  spans if they pass and have LEAST_LETTERS characters; shorter ones can't be told from words run together.
 
 Spark's regex functions give matches without places. The pieces between matches do: a running sum over a document's
 pieces and matches gives every start, in code points.
@@ -35,6 +36,8 @@ FALSE_SHARE = 0.01
 #: A token is random unless one of the three tests rejects it at this level.
 LEVEL = 0.01
 BINS, STEP = 800, 0.05
+#: Characters from which on a token of letters in one case can be told from language.
+LEAST_LETTERS = 64
 #: Index of coincidence if the corpus has no long words to tell it.
 COINCIDENCE, CUBES = 0.0667, 0.0055
 
@@ -77,19 +80,20 @@ def _measured(tokens: DataFrame) -> DataFrame:
     bare = F.regexp_replace("token", "[^A-Za-z0-9]", "")
     kind = (
         F.when(F.col("bare").rlike(r"^([0-9a-f]+|[0-9A-F]+)$"), "hex")
-        .when(F.col("bare").rlike(r"^[A-Z2-7]+$") & F.col("bare").rlike("[2-7]"), "base32")
+        .when(F.col("bare").rlike(r"^([A-Z2-7]+|[a-z2-7]+)$") & F.col("bare").rlike("[2-7]"), "base32")
         .when(F.col("bare").rlike(r"^([a-z]+|[A-Z]+|[A-Z][a-z]+)$"), "letters")
+        .when(F.col("bare").rlike(r"^([a-z0-9]+|[A-Z0-9]+)$"), "base36")
         .otherwise("base62")
     )
     digits, low = "0123456789", "abcdefghijklmnopqrstuvwxyz"
-    alphabets = {"hex": digits + "abcdef", "base32": low.upper() + "234567", "letters": low, "base62": digits + low.upper() + low}
+    alphabets = {"hex": digits + "abcdef", "base32": low + "234567", "letters": low, "base36": digits + low, "base62": digits + low.upper() + low}
     table_ = F.create_map(*[x for k, v in alphabets.items() for x in (F.lit(k), F.lit(v))])
     return (
         tokens.withColumn("bare", bare)
         .withColumn("encoding", kind)
         .filter("length(bare) >= 16 and not bare rlike '^[0-9]+$'")
         .withColumn("alphabet", table_[F.col("encoding")])
-        .withColumn("folded", F.when(F.col("encoding").isin("hex", "letters"), F.lower("bare")).otherwise(F.col("bare")))
+        .withColumn("folded", F.when(F.col("encoding") == "base62", F.col("bare")).otherwise(F.lower("bare")))
     )
 
 
@@ -137,12 +141,12 @@ def _random_tokens(occurrences: DataFrame) -> DataFrame:
     cubes = F.pow(c, F.lit(1.5)) * (CUBES / COINCIDENCE**1.5)  # the cube sum of a language's frequencies follows its square sum
     deviation = F.sqrt(F.greatest(4 * (cubes - c * c) / n, F.lit(0.0)) + 2 * c / (n * (n - 1)))
     scored = tested.crossJoin(F.broadcast(usual)).withColumn("z", (c - F.col("coincidence")) / deviation)  # one row
-    scored = cut(scored.select("token", "encoding", "p_random", "z", F.least(F.greatest(F.floor(F.col("z") / STEP), F.lit(0)), F.lit(BINS)).cast("int").alias("bin")))
+    scored = cut(scored.select("token", "encoding", "n", "p_random", "z", F.least(F.greatest(F.floor(F.col("z") / STEP), F.lit(0)), F.lit(BINS)).cast("int").alias("bin")))
     bins = scored.groupBy("bin").agg(F.count("*").alias("here"))  # BINS + 1 rows at most
     above = F.sum("here").over(W.orderBy(F.desc("bin")).rowsBetween(W.unboundedPreceding, 0))
     ranked = bins.select("bin", above.alias("rank"), F.sum("here").over(W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("all"))
     cutoff = ranked.filter(upper_tail(F.col("bin") * STEP) <= FALSE_SHARE * F.col("rank") / F.col("all")).agg(F.min("bin").alias("cutoff"))
-    return scored.crossJoin(F.broadcast(cutoff)).filter((F.col("bin") >= F.col("cutoff")) & (F.col("p_random") >= LEVEL) & (F.col("encoding") != "letters")).select("token")
+    return scored.crossJoin(F.broadcast(cutoff)).filter((F.col("bin") >= F.col("cutoff")) & (F.col("p_random") >= LEVEL) & ((F.col("encoding") != "letters") | (F.col("n") >= LEAST_LETTERS))).select("token")
 
 
 def find_secrets(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -398,6 +398,22 @@ def test_secrets(spark):
     assert secrets.find_secrets(docs(spark, [])).count() == 0
 
 
+def test_secrets_of_each_encoding_and_length(spark):
+    r = random.Random(88)
+    low, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    kinds = {"base36": low + digits, "BASE36": low.upper() + digits, "base32": low + "234567", "BASE32": low.upper() + "234567", "base62": low + low.upper() + digits}
+    kinds |= {"base64": kinds["base62"] + "+/", "base64url": kinds["base62"] + "-_", "letters": low, "LETTERS": low.upper()}
+    cases = [(kind, n) for kind in kinds for n in ((192, 256) if kind.lower() == "letters" else (64, 96, 128)) for _ in range(12)]
+    rows = [(i, f"{prose(i, 20)} {''.join(r.choice(kinds[kind]) for _ in range(n))} {prose(i + 1, 9)}") for i, (kind, n) in enumerate(cases)]
+    rows += [(10_000 + i, "".join(prose(9000 + i, 3 + i % 30).split())) for i in range(300)]
+    found = {x.doc_id for x in secrets.find_secrets(docs(spark, rows)).collect() if x.n_random}
+    assert not [i for i in found if i >= 10_000]
+    share = defaultdict(list)
+    for i, case in enumerate(cases):
+        share[case].append(i in found)
+    assert all(sum(x) >= 9 for x in share.values()), [(k, sum(x)) for k, x in share.items() if sum(x) < 9]
+
+
 # 9
 
 
