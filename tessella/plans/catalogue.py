@@ -111,8 +111,8 @@ def source_hash_shape(spark, d):
 
 @query("code_unit_order")
 def code_unit_order(spark, d):
-    """The documents' first characters in UTF-16 order; SQL has no such order."""
-    rows = rel.table(spark, d, "documents").select(F.substring("text", 1, 1).alias("head")).distinct()
+    """The documents' texts in UTF-16 order; SQL has no such order."""
+    rows = rel.table(spark, d, "documents").select(F.col("text").alias("head")).distinct()
     return rows.withColumn("key", F.hex(ids.code_unit_key(F.col("head")))).orderBy(ids.code_unit_key(F.col("head")))
 
 
@@ -465,8 +465,8 @@ def compose_empty_roundtrip(spark, d):
 
 @query("slugify")
 def slugify(spark, d):
-    """Slugs of the documents' beginnings; SQL has no compatibility decomposition."""
-    return rel.table(spark, d, "documents").select("doc_id", tx.slugs(F.substring("text", 1, 60)).alias("slug"))
+    """Slugs of the documents; SQL has no compatibility decomposition."""
+    return rel.table(spark, d, "documents").select("doc_id", tx.slugs(F.col("text")).alias("slug"))
 
 
 @query("po_escape", r"""select doc_id, replace(replace(replace(replace(text, '\', '\\'), '"', '\"'), chr(10), '\n'), chr(9), '\t') as escaped from documents""")

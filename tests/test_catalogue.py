@@ -74,3 +74,12 @@ def test_strip_tags_is_linear_on_unclosed_signs(spark):
 
     rows = spark.createDataFrame([("<" * 100_000,), ("a<b>c<d",), ("",)], "t string").select(strip_tags(F.col("t")).alias("t")).collect()
     assert [r.t for r in rows] == ["<" * 100_000, "ac<d", ""]
+
+
+def test_slugs_and_order_take_whole_texts(spark, sf_dir):
+    from tessella.functions.text import slug
+
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()}
+    assert {r.doc_id: r.slug for r in QUERIES["slugify"](spark, sf_dir).collect()} == {i: None if t is None else slug(t) for i, t in texts.items()}
+    order = [r.head for r in QUERIES["code_unit_order"](spark, sf_dir).collect() if r.head is not None]
+    assert order == sorted({t for t in texts.values() if t is not None}, key=lambda t: t.encode("utf-16-be"))
