@@ -1,8 +1,9 @@
-"""What the operators of this subpackage share: table access, lineage cuts, words and shingles."""
+"""What the operators of this subpackage share: table access, lineage cuts, joins, words and shingles."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,24 +12,53 @@ from pyspark.sql import functions as F
 
 #: The white space of the contracts: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = r"[\x20\x09-\x0D]"
+#: Copies of a row of the lesser side of a salted join.
+SALTS = 16
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` materialised in the shared folder of ``spark.checkpoint.dir``, so that lost executors lose nothing.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which the driver and all executors see.
 
-    Only where the session names no folder (plain local tests) is a temporary one set.
+    Only a session in one JVM (tests) that names none gets a temporary one; on a cluster that is an error.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
-    if not spark.conf.get("spark.checkpoint.dir", None) and context.getCheckpointDir() is None:
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not named:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="tessella-checkpoint-"))
+        named = context.getCheckpointDir()
+    return named.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` materialised in the shared folder, so that lost executors lose nothing."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def delete_folder(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+class Stored:
+    """A frame written as Parquet in the shared folder; ``rows`` reads it, ``drop`` deletes it."""
+
+    def __init__(self, df: DataFrame, name: str) -> None:
+        self.spark = df.sparkSession
+        self.path = f"{shared_folder(self.spark)}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(self.path)
+        self.rows = self.spark.read.schema(df.schema).parquet(self.path)
+
+    def drop(self) -> None:
+        delete_folder(self.spark, self.path)
+
+
 def whole(text: Column) -> Column:
     """The text with null as empty."""
     return F.coalesce(text.cast("string"), F.lit(""))
@@ -39,6 +69,20 @@ def bounded_broadcast(df: DataFrame, rows: int, limit: int) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
+def spread_join(rows: DataFrame, keyed: DataFrame, key: str, limit: int) -> DataFrame:
+    """The inner join of ``rows`` with ``keyed``, a frame of few rows a key that is counted here.
+
+    Up to ``limit`` rows it is broadcast. Beyond, both are shuffled, ``rows`` salted and ``keyed`` copied to every salt,
+    so that a key that a third of ``rows`` has is read by SALTS tasks.
+    """
+    if keyed.count() <= limit:
+        return rows.join(F.broadcast(keyed), key)
+    # a salt from the row itself: the same however often a lost task is run again
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*[c for c in rows.columns if c != key]), F.lit(SALTS)).cast("int") if len(rows.columns) > 1 else F.lit(0))
+    copied = keyed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(copied, [key, "_salt"]).drop("_salt")
+
+
 def strings(column) -> Iterator[str]:
     """The values of an Arrow string column one by one, null as empty; one text at a time is copied."""
     for value in column:

@@ -1,17 +1,27 @@
 """LM scoring by cross-entropy difference (operator 4).
 
-Two interpolated bigram models are counted over the corpus: the target model over the documents of high quality, the
-background model over all. They are matched: one vocabulary (every word of the corpus), one smoothing, one estimate. A
-document's score is the mean over its tokens of the loss under the target model less the loss under the background
-model; below zero it reads more like the target.
-
-``pair_losses`` counts each distinct word and pair, told apart by 64-bit hashes, in a table that grows with the corpus;
-``scores`` joins each document's distinct pairs with it. ``count_models`` and ``cross_entropy_difference`` are the same
-estimate over a fixed number of hashed slots, for small corpora; no query uses them.
+Two n-gram models are counted over the corpus: the target model over the documents of high quality, the background model
+over all. They are matched: one vocabulary (every distinct word of the corpus and a mark for the ends of a text), one
+smoothing, one estimate. A text is read as a ring of its words and the mark. A word's loss after its predecessor is the
+mean of its losses under the bigram and the unigram estimate (log-linear interpolation),
+
+    (log(n(predecessor) + SMOOTH V) - log(n(pair) + SMOOTH)) / 2 + (log(N + V) - log(n(word) + 1)) / 2
+
+with V the size of the vocabulary and N all words and marks, and a document's score is the mean over its words and mark
+of the loss under the target model less that under the background model; below zero it reads more like the target.
+
+The loss is a sum of a term per word and a term per pair, so that nothing needs the counts of two grams at once. A
+document's distinct grams (64-bit hashes of words and of pairs) are dealt out to shards by their hash, as one row of
+bytes per document and shard. A shard holds all places of its grams: it counts them and gives each of its documents its
+part of the sums. What is gathered grows with the corpus; the number of shards grows with the words counted, and a
+shard's size doesn't. Grams so frequent that they would swell one shard (found from the counts of blocks: a gram with a
+``2 / heavy`` share of all words has a ``1 / heavy`` share of the words of blocks where it is frequent) are at most
+``2 * heavy``; their exact counts are broadcast and their terms added where the document is read.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,210 +30,261 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import bounded_broadcast, cut, mix64, strings, table
+from tessella.llm.common import bounded_broadcast, cut, mix64, table
 
-UNIGRAMS, BIGRAMS = 1 << 18, 1 << 20
-WEIGHT = 0.6
+#: Added to every count of a pair, and the bigram estimate's share of the loss.
+SMOOTH, SHARE = 0.1, 0.5
+#: Words remembered by a task.
 MEMO = 600_000
 BROADCAST_ROWS = 2_000_000
-#: Tokens that a task holds before it counts them.
-HELD_TOKENS = 1_000_000
-
-
-class Words(dict):
-    """Word to slot; 0 is the start of a text."""
-
-    def __missing__(self, word: str) -> int:
-        self[word] = slot = 1 + xxhash.xxh64_intdigest(word.encode("utf-8", "replace")) % (UNIGRAMS - 1)
-        return slot
-
-
-def slots(text: str, words: Words) -> np.ndarray:
-    """The slots of a text's lower-cased words, after a 0."""
-    if len(words) > MEMO:
-        words.clear()
-    found = text.lower().split()
-    return np.fromiter((words[w] for w in found), np.int64, len(found))
-
-
-def pairs(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    x = (first.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (second.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
-    return ((x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(44)).astype(np.int64)
-
-
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    words, total = Words(), np.zeros((2, UNIGRAMS + BIGRAMS), np.int64)
-    held: list[list[np.ndarray]] = [[], []]
-    size = 0
-
-    def add() -> None:
-        for which in (0, 1):
-            if held[which]:
-                x = np.concatenate(held[which])
-                total[which, :UNIGRAMS] += np.bincount(x, minlength=UNIGRAMS)
-                at = np.flatnonzero(x[1:] > 0)
-                total[which, UNIGRAMS:] += np.bincount(pairs(x[at], x[at + 1]), minlength=BIGRAMS)
-                held[which] = []
-
-    for batch in batches:
-        for target, text in zip(batch.column(0).to_pylist(), strings(batch.column(1)), strict=True):
-            x = np.concatenate([[0], slots(text, words)])
-            held[0].append(x)
-            if target:
-                held[1].append(x)
-            size += len(x)
-            if size > HELD_TOKENS:
-                add()
-                size = 0
-    add()
-    at = np.flatnonzero(total[0])
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[0, at]), pa.array(total[1, at])], ["slot", "background", "target"])
-
-
-class Model:
-    """Losses under one model. ``seen``: unigram slots (0: texts), then bigram slots."""
-
-    def __init__(self, seen: np.ndarray) -> None:
-        self.words, self.pairs = seen[:UNIGRAMS].astype(np.float32), seen[UNIGRAMS:].astype(np.float32)
-        self.base = ((self.words + 1) / (self.words[1:].sum() + UNIGRAMS)).astype(np.float32)
-
-    def losses(self, before: np.ndarray, word: np.ndarray, pair: np.ndarray) -> np.ndarray:
-        known = np.minimum(self.pairs[pair] / np.maximum(self.words[before], 1), 1)
-        return -np.log(WEIGHT * known + (1 - WEIGHT) * self.base[word])
-
-
-def count_models(docs: DataFrame, target_ids: DataFrame, text: str = "text") -> np.ndarray:
-    """(2, slots) counts: of all documents, and of those in ``target_ids`` (doc_id)."""
-    ids = target_ids.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("id")).distinct().withColumn("target", F.lit(True))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    rows = rows.join(bounded_broadcast(ids, ids.count(), BROADCAST_ROWS), rows["doc_id"] == ids["id"], "left").select(F.coalesce("target", F.lit(False)).alias("target"), "text")
-    sums = rows.mapInArrow(_counts, "slot long, background long, target long").groupBy("slot").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
-    found = sums.toArrow()  # UNIGRAMS + BIGRAMS rows at most
-    seen = np.zeros((2, UNIGRAMS + BIGRAMS), np.int64)
-    at = found["slot"].to_numpy()
-    seen[0, at], seen[1, at] = found["background"].to_numpy(), found["target"].to_numpy()
-    return seen
-
-
-def cross_entropy_difference(docs: DataFrame, seen: np.ndarray, text: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, tokens, target_loss, background_loss, score (their difference, a token's mean).
-
-    Null and empty texts have no tokens and 0 everywhere. Without target documents the target model is uniform. Rows
-    that repeat a doc_id are scored each for itself; a null doc_id stays null. An empty table gives an empty result;
-    other columns are ignored. Documents are counted in the models that score them.
-    """
-    sent = docs.sparkSession.sparkContext.broadcast(seen.astype(np.float32))
+#: Words of a block that a task counts at once, and of a shard.
+BLOCK, SHARD = 1_000_000, 4_000_000
+#: Distinct words that a task merges before it sends them on.
+MERGED = 2_000_000
+#: Shards, and frequent grams, at least.
+LEAST_SHARDS, LEAST_HEAVY = 16, 4096
+
+
+class Grams(dict):
+    """Hashes of words, kept within a bound, and the grams of a text."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = h = xxhash.xxh64_intdigest(word)
+        return h
+
+    def words(self, text: str) -> np.ndarray:
+        """Hashes of the text's ASCII lower-cased words, after a 0 for its ends; nothing if it has no words."""
+        if len(self) > MEMO:
+            self.clear()
+        found = text.encode("utf-8", "replace").lower().split()
+        x = np.zeros(len(found) + bool(found), np.uint64)
+        x[1:] = np.fromiter(map(self.__getitem__, found), np.uint64, len(found))
+        return x
+
+
+def grams(x: np.ndarray) -> np.ndarray:
+    """The words (even) and pairs (odd) of a text's ring."""
+    word = mix64(x + np.uint64(0x9E3779B97F4A7C15))
+    return np.concatenate([word & ~np.uint64(1), mix64(word ^ np.roll(x, -1)) | np.uint64(1)])
+
+
+def _summed(keys: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct keys and the sums of their counts."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[at], *(np.add.reduceat(c[order], at) if len(at) else c for c in counts)
+
+
+def _survey(heavy: int):
+    """(kind, key, n): 0 each distinct word and the mark; 1 grams that are frequent in a block; 2 all words and marks (key
+    0), those of the target (key 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        target, background, words = Model(sent.value[1]), Model(sent.value[0]), Words()
+        memo = Grams()
+        held, size, target = [], 0, 0
+        merged = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+        def rows(kind: int, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], ["kind", "key", "n"])
+
+        def block() -> Iterator[pa.RecordBatch]:
+            nonlocal merged
+            words = np.concatenate(held)
+            merged = _summed(np.concatenate([merged[0], words]), np.concatenate([merged[1], np.ones(len(words), np.int64)]))
+            keys = np.concatenate([grams(x) for x in held])
+            keys, n = _summed(keys, np.ones(len(keys), np.int64))
+            often = n * heavy >= len(words)
+            yield rows(1, keys[often], n[often])
+            yield rows(2, np.arange(2, dtype=np.uint64), np.array([len(words), target]))
+            if len(merged[0]) > MERGED:
+                yield rows(0, *merged)
+                merged = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
         for batch in batches:
-            rows = []
-            for value in strings(batch.column(1)):
-                x = slots(value, words)
-                if not len(x):
-                    rows.append((0, 0.0, 0.0))
-                    continue
-                before = np.concatenate([[0], x[:-1]])
-                pair = pairs(before, x)
-                rows.append((len(x), float(target.losses(before, x, pair).mean()), float(background.losses(before, x, pair).mean())))
-            n, t, b = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(t, pa.float64()), pa.array(b, pa.float64())], ["doc_id", "tokens", "target_loss", "background_loss"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    out = rows.mapInArrow(run, "doc_id long, tokens long, target_loss double, background_loss double")
-    return out.withColumn("score", F.col("target_loss") - F.col("background_loss"))
-
-
-class Hashes(dict):
-    def __missing__(self, word: str) -> int:
-        self[word] = h = xxhash.xxh64_intdigest(word.encode("utf-8", "replace"))
-        return h
+            for wanted, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                x = memo.words(value.as_py() or "")
+                if len(x):
+                    held.append(x)
+                    size += len(x)
+                    target += len(x) * bool(wanted)
+                    if size > BLOCK:
+                        yield from block()
+                        held, size, target = [], 0, 0
+        if held:
+            yield from block()
+        yield rows(0, *merged)
+
+    return run
+
 
+def _frequent(sent):
+    """(key, n, t) of the grams in the broadcast array, counted."""
 
-def _contexts(text: str, words: Hashes) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of each lower-cased word's predecessor (0 at the start) and of the word."""
-    if len(words) > MEMO:
-        words.clear()
-    found = text.lower().split()
-    x = np.zeros(len(found) + 1, np.uint64)
-    x[1:] = np.fromiter((words[w] for w in found), np.uint64, len(found))
-    return x[:-1], x[1:]
-
-
-def _pair_keys(before: np.ndarray, word: np.ndarray) -> np.ndarray:
-    return mix64(mix64(before + np.uint64(0x9E3779B97F4A7C15)) ^ word)
-
-
-def _pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    words = Hashes()
-    held: list[tuple] = []
-    size = 0
-
-    def counted() -> pa.RecordBatch:
-        before, word = (np.concatenate([x[k] for x in held]) for k in (0, 1))
-        target = np.repeat(np.array([x[2] for x in held], bool), [len(x[0]) for x in held])
-        keys, first, place, n = np.unique(_pair_keys(before, word), return_index=True, return_inverse=True, return_counts=True)
-        in_target = np.bincount(place[target], minlength=len(keys))
-        columns = [keys.view(np.int64), before[first].view(np.int64), word[first].view(np.int64), n.astype(np.int64), in_target.astype(np.int64)]
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["pair", "before", "word", "n", "t"])
-
-    for batch in batches:
-        for target, text in zip(batch.column(0).to_pylist(), strings(batch.column(1)), strict=True):
-            held.append((*_contexts(text, words), target))
-            size += len(held[-1][0])
-            if size > HELD_TOKENS:
-                yield counted()
-                held, size = [], 0
-    if held:
-        yield counted()
-
-
-def pair_losses(docs: DataFrame, target_ids: DataFrame, text: str = "text") -> DataFrame:
-    """(pair, target_loss, background_loss) of each distinct pair of words in ``docs``; targets: ``target_ids`` (doc_id)."""
-    ids = target_ids.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("id")).distinct().withColumn("target", F.lit(True))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    rows = rows.join(bounded_broadcast(ids, ids.count(), BROADCAST_ROWS), rows["doc_id"] == ids["id"], "left").select(F.coalesce("target", F.lit(False)).alias("target"), "text")
-    sums = rows.mapInArrow(_pair_counts, "pair long, before long, word long, n long, t long").groupBy("pair")
-    counts = cut(sums.agg(F.min("before").alias("before"), F.min("word").alias("word"), F.sum("n").alias("n"), F.sum("t").alias("t")))
-    contexts = counts.groupBy("before").agg(F.sum("n").alias("before_n"), F.sum("t").alias("before_t"))
-    words = cut(counts.groupBy("word").agg(F.sum("n").alias("word_n"), F.sum("t").alias("word_t")))
-    total = words.agg(F.count("*").alias("words"), F.sum("word_n").alias("n"), F.sum("word_t").alias("t")).first()
-
-    def loss(k: str):
-        known = F.when(F.col(f"before_{k}") > 0, F.col(k) / F.col(f"before_{k}")).otherwise(F.lit(0.0))
-        base = (F.col(f"word_{k}") + 1) / F.lit(float((total[k] or 0) + max(total["words"], 1)))
-        return -F.log(WEIGHT * known + (1 - WEIGHT) * base)
-
-    return counts.join(contexts, "before").join(words, "word").select("pair", loss("t").alias("target_loss"), loss("n").alias("background_loss"))
-
-
-def _document_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, doc_id, pair, times); with times 0 and a pair of its own, a row for each document."""
-    words = Hashes()
-    for batch in batches:
-        held, size = [], 0
-        for at, (row, doc, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strings(batch.column(2)), strict=True), 1):
-            keys, times = np.unique(_pair_keys(*_contexts(text, words)), return_counts=True)
-            own = mix64(np.array([row], np.uint64))
-            held.append((row, doc, np.concatenate([own, keys]), np.concatenate([[0], times])))
-            size += len(keys)
-            if size > 200_000 or at == batch.num_rows:
-                many = np.array([len(x[2]) for x in held])
-                docs = pa.array([x[1] for x in held], pa.int64()).take(pa.array(np.repeat(np.arange(len(held)), many)))
-                columns = [pa.array(np.repeat(np.array([x[0] for x in held], np.int64), many)), docs, pa.array(np.concatenate([x[2] for x in held]).view(np.int64)), pa.array(np.concatenate([x[3] for x in held]).astype(np.int64))]
-                yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "pair", "times"])
-                held, size = [], 0
-
-
-def scores(docs: DataFrame, losses: DataFrame, text: str = "text") -> DataFrame:
-    """The columns and the contract of ``cross_entropy_difference``, by the table of ``pair_losses`` over the same ``docs``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo, keys = Grams(), sent.value
+        n, t = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        for batch in batches:
+            for target, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                x = grams(memo.words(value.as_py() or ""))
+                at = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
+                mine = np.bincount(at[keys[at] == x], minlength=len(keys))
+                n += mine
+                t += mine * bool(target)
+        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n), pa.array(t)], ["key", "n", "t"])
+
+    return run
+
+
+def _terms(keys: np.ndarray, n: np.ndarray, vocabulary: int) -> np.ndarray:
+    """A gram's part of the loss of a place."""
+    pair = (keys & np.uint64(1)).astype(bool)
+    return np.where(pair, -SHARE * np.log(n + SMOOTH), SHARE * np.log(n + SMOOTH * vocabulary) - (1 - SHARE) * np.log(n + 1))
+
+
+PARTS = "row long, doc_id long, tokens long, target boolean, target_loss double, background_loss double, shard int, grams binary, times binary"
+
+
+def _deal(sent, shards: int, vocabulary: int):
+    """A row per document and shard: the document's grams there (8 bytes each) and how often each occurs (1 byte; repeated
+    beyond 255). The first also has the document's words and the sums of its frequent grams."""
+    names = [x.split()[0] for x in PARTS.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = Grams()
+        heavy, n, t = sent.value
+        terms = [_terms(heavy, x, vocabulary) for x in (t, n)]
+        held: list[tuple] = []
+        size = 0
+
+        def ready() -> pa.RecordBatch:
+            doc = np.repeat(np.arange(len(held)), [len(x[6]) for x in held])
+            keys, times = (np.concatenate([x[k] for x in held]) for k in (6, 7))
+            doc, keys, times = (np.repeat(x, (times + 254) // 255) for x in (doc, keys, times))
+            same = np.concatenate([[False], (keys[1:] == keys[:-1]) & (doc[1:] == doc[:-1])]) if len(keys) else np.zeros(0, bool)
+            first = np.flatnonzero(~same)
+            turn = np.arange(len(keys)) - np.repeat(first, np.diff(np.append(first, len(keys))))
+            times = np.minimum(times - 255 * turn, 255)
+            # a row of its own for what a document has once
+            shard = np.concatenate([(keys >> np.uint64(1)) % np.uint64(shards), np.full(len(held), shards, np.uint64)]).astype(np.int64)
+            shard[len(keys):] = [x[0] % shards for x in held]
+            doc = np.concatenate([doc, np.arange(len(held))])
+            once = np.concatenate([np.zeros(len(keys), bool), np.ones(len(held), bool)])
+            order = np.lexsort((~once, shard, doc))
+            doc, shard, once = doc[order], shard[order], once[order]
+            at = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (shard[1:] != shard[:-1])]))
+            entry = order[~once]
+            ends = np.concatenate([[0], np.cumsum(~once)])[np.append(at, len(doc))]
+            has = once[at]
+            columns = [[x[k] for x in held] for k in range(6)]
+            take = doc[at]
+            arrays = [pa.array(columns[0], pa.int64()).take(pa.array(take)), pa.array(columns[1], pa.int64()).take(pa.array(take))]
+            arrays.append(pa.array(np.where(has, np.array(columns[2], np.int64)[take], 0)))
+            arrays.append(pa.array(np.array(columns[3], bool)[take]))
+            arrays += [pa.array(np.where(has, np.array(columns[k])[take], 0.0)) for k in (4, 5)]
+            arrays.append(pa.array(shard[at].astype(np.int32)))
+            for x, width in ((keys[entry], 8), (times[entry].astype(np.uint8), 1)):
+                arrays.append(pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer((ends * width).astype(np.int32).tobytes()), pa.py_buffer(x.tobytes())]))
+            return pa.RecordBatch.from_arrays(arrays, names)
+
+        for batch in batches:
+            for row, doc, target, value in zip(*(batch.column(c).to_pylist() for c in range(3)), batch.column(3), strict=True):
+                x = memo.words(value.as_py() or "")
+                all_ = grams(x)
+                keys, times = _summed(all_, np.ones(len(all_), np.int64))
+                sums = [0.0, 0.0]
+                if len(heavy):
+                    at = np.minimum(np.searchsorted(heavy, keys), len(heavy) - 1)
+                    often = heavy[at] == keys
+                    sums = [float((term[at[often]] * times[often]).sum()) for term in terms]
+                    keys, times = keys[~often], times[~often]
+                held.append((row, doc, max(0, len(x) - 1), target, *sums, keys, times))
+                size += len(keys) + 1
+                if size > 400_000:
+                    yield ready()
+                    held, size = [], 0
+        if held:
+            yield ready()
+
+    return run
+
+
+def _shard(vocabulary: int):
+    """(row, doc_id, tokens, target_loss, background_loss): each document's part from one shard."""
+
+    def run(part: pa.Table) -> pa.Table:
+        part = part.combine_chunks()
+        keys, times = (np.concatenate([np.frombuffer(b"".join(c.to_pylist()), kind) for c in part.column(name).chunks] or [np.zeros(0, kind)]) for name, kind in (("grams", "<u8"), ("times", np.uint8)))
+        sizes = np.array([len(x) for c in part.column("times").chunks for x in c.to_pylist()], np.int64)
+        doc = np.repeat(np.arange(part.num_rows), sizes)
+        target = part.column("target").to_numpy()
+        distinct, place = np.unique(keys, return_inverse=True)
+        out = [part.column(k).to_numpy(zero_copy_only=False) if k != "doc_id" else part.column(k) for k in ("row", "doc_id", "tokens")]
+        for name, counted in (("target_loss", times * target[doc]), ("background_loss", times)):
+            term = _terms(distinct, np.bincount(place, weights=counted, minlength=len(distinct)), vocabulary)
+            out.append(part.column(name).to_numpy() + np.bincount(doc, weights=term[place] * times, minlength=part.num_rows))
+        return pa.Table.from_arrays([x if isinstance(x, pa.ChunkedArray) else pa.array(x) for x in out], ["row", "doc_id", "tokens", "target_loss", "background_loss"])
+
+    return run
+
+
+def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, text: str = "text", shard_words: int = SHARD, heavy: int | None = None) -> DataFrame:
+    """One row per row of ``docs``: doc_id, tokens, target_loss, background_loss, score (their difference, a word's mean).
+
+    ``target_ids`` (doc_id) names the target documents; null ids there name none. Words are ASCII lower-cased and lie
+    between ASCII white space. Null and empty texts have no words and 0 everywhere; texts of any length are read whole.
+    Without target documents the target model is uniform. Rows that repeat a doc_id are scored and counted each for
+    itself; a null doc_id stays null and is no target. An empty table gives an empty result; other columns are ignored.
+    Documents are counted in the models that score them. Grams are told apart by 63-bit hashes.
+    """
+    spark = docs.sparkSession
+    ids = target_ids.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("_target")).distinct()
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    each = rows.mapInArrow(_document_pairs, "row long, doc_id long, pair long, times long").join(losses, "pair", "left")
-    summed = each.groupBy("row", "doc_id").agg(F.sum("times").alias("tokens"), *[F.sum(F.col("times") * F.col(k)).alias(k) for k in ("target_loss", "background_loss")])
-    mean = [F.when(F.col("tokens") > 0, F.col(k) / F.col("tokens")).otherwise(F.lit(0.0)).alias(k) for k in ("target_loss", "background_loss")]
+    heavy = heavy or max(LEAST_HEAVY, 16 * rows.rdd.getNumPartitions())
+    rows = rows.join(bounded_broadcast(ids, ids.count(), BROADCAST_ROWS), F.col("doc_id") == F.col("_target"), "left")
+    rows = rows.select("row", "doc_id", F.col("_target").isNotNull().alias("target"), "text")
+
+    survey = cut(rows.select("target", "text").mapInArrow(_survey(heavy), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")))
+    sizes = [F.sum(F.when((F.col("kind") == 2) & (F.col("key") == k), F.col("n"))).alias(name) for k, name in enumerate(("words", "wanted"))]
+    seen = survey.agg(F.count_if(F.col("kind") == 0).alias("vocabulary"), *sizes).first()
+    vocabulary, words, wanted = max(1, seen.vocabulary), seen.words or 0, seen.wanted or 0
+    often = survey.filter((F.col("kind") == 1) & (F.col("n") * heavy >= words)).select("key").toArrow()  # at most 2 * heavy: each place is in two grams
+    keys = np.sort(often["key"].to_numpy().view(np.uint64))
+    counts = [np.zeros(0, np.int64)] * 2
+    if len(keys):
+        sums = rows.select("target", "text").mapInArrow(_frequent(spark.sparkContext.broadcast(keys)), "key long, n long, t long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).toArrow()
+        order = np.argsort(sums["key"].to_numpy().view(np.uint64))
+        counts = [sums[k].to_numpy()[order] for k in ("n", "t")]
+    shards = max(LEAST_SHARDS, -(-words // shard_words))
+    dealt = rows.mapInArrow(_deal(spark.sparkContext.broadcast((keys, *counts)), shards, vocabulary), PARTS)
+    parts = dealt.groupBy("shard").applyInArrow(_shard(vocabulary), "row long, doc_id long, tokens long, target_loss double, background_loss double")
+    summed = parts.groupBy("row", "doc_id").agg(*[F.sum(k).alias(k) for k in ("tokens", "target_loss", "background_loss")])
+    mean = [
+        F.when(F.col("tokens") > 0, F.col(k) / (F.col("tokens") + 1) + (1 - SHARE) * math.log(n + vocabulary)).otherwise(F.lit(0.0)).alias(k)
+        for k, n in (("target_loss", wanted), ("background_loss", words))
+    ]
     return summed.select("doc_id", "tokens", *mean).withColumn("score", F.col("target_loss") - F.col("background_loss"))
 
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    return scores(docs, pair_losses(docs, labels.filter("quality = 1")))
+    found = cross_entropy_difference(docs, labels.filter("quality = 1"))
+    return found.select("doc_id", "tokens", *[F.round(k, 6).alias(k) for k in ("target_loss", "background_loss", "score")])
+
+
+#: DuckDB: the same models, pair by pair.
+SQL = r"""
+with d as (select row_number() over () as r, doc_id, coalesce(doc_id in (select doc_id from labels where quality = 1 and doc_id is not null), false) as target,
+                  list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+     p as (select r, target, case when i = 0 then '' else w[i] end as b, case when i = len(w) then '' else w[i + 1] end as w
+           from (select r, target, w, unnest(range(0, len(w) + 1)) as i from d where len(w) > 0)),
+     z as (select count(distinct w) as v, count(*) as n, count(*) filter (target) as t from p),
+     n as (select b, w, count(*) as n, count(*) filter (target) as t from p group by all),
+     c as (select b, sum(n) as n, sum(t) as t from n group by b),
+     l as (select n.b, n.w, (ln(c.t + 0.1 * v) - ln(n.t + 0.1) + ln(z.t + v) - ln(u.t + 1)) / 2 as target_loss,
+                  (ln(c.n + 0.1 * v) - ln(n.n + 0.1) + ln(z.n + v) - ln(u.n + 1)) / 2 as background_loss from n join c using (b) join c as u on u.b = n.w, z),
+     s as (select r, avg(target_loss) as target_loss, avg(background_loss) as background_loss from p join l using (b, w) group by r)
+select doc_id, len(w) as tokens, round(coalesce(target_loss, 0), 6) as target_loss, round(coalesce(background_loss, 0), 6) as background_loss,
+       round(coalesce(target_loss, 0) - coalesce(background_loss, 0), 6) as score
+from d left join s using (r)
+"""

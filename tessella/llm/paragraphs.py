@@ -1,119 +1,240 @@
 """Substring dedup by paragraph MinHash banding (operator 1).
 
-A paragraph is a line of at least LEAST_WORDS words. Equal paragraphs (lower-cased words) are one class; each class has
-a MinHash signature of its five-word shingles in BANDS bands of ROWS values, tuned so that a pair at the threshold
-meets in a band with a probability of 0.999. Classes that collide are joined with their shingles and verified by the
-exact Jaccard similarity, and the components of the links are the clusters. In a cluster the first paragraph stays.
-
-A bucket's members are read as one run of sorted rows; similar members join one group, so that a bucket of many near
-copies costs each member a few comparisons and gives one link each, not all pairs. Buckets with the same members are
-verified once.
-
-Passages don't hang on line ends (``repeated_passages``): the words of the whole text are cut into overlapping units of
-UNIT_WORDS words that begin where a hash is least among UNIT_PLACES neighbours (winnowing). Two texts that share
-UNIT_WORDS + UNIT_PLACES - 1 = 50 words in a row, whatever surrounds them, share a unit.
+A paragraph is a stretch of words, of one of two kinds that are never compared with each other:
+
+* line: a line of at least LEAST_WORDS words;
+* passage: UNIT_WORDS words in a row, whatever lines they lie in. Their beginnings are the places where the hash of the
+  UNIT_WORDS words is the least of UNIT_PLACES neighbours (winnowing). Two texts that share UNIT_WORDS + UNIT_PLACES - 1
+  = 50 words in a row, whatever surrounds them, share such a stretch.
+
+Equal paragraphs (ASCII lower-cased words) are one class. Every class has a MinHash signature of its five-word shingles
+in BANDS bands of ROWS values. Classes that meet in a band are joined with their shingles and verified by the exact
+Jaccard similarity, and the components of the links are the clusters. In a cluster the first paragraph stays.
+
+All that is known of a paragraph is written once as a table in the shared folder and read column by column. Bands are
+grouped without their members first; only buckets that hold two classes are joined with them. A bucket's members are
+dealt out by blocks of BUCKET_ROWS, each pair of blocks to a cell, so that no task compares a large bucket alone. Within
+a cell similar members join one group: many near copies cost each a few comparisons and give a link each, not all pairs.
 """
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
-from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import SPACE, bounded_broadcast, cut, mix64, table
+from tessella.llm.common import Stored, cut, mix64, spread_join, table
 from tessella.llm.components import components
 
 LEAST_WORDS = 20
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
-#: 1 - (1 - 0.8 ** 3) ** 10 = 0.9992 for a pair at the threshold, 0.999998 at 0.9.
-BANDS, ROWS = 10, 3
-SEEDS = mix64(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-#: Classes of one bucket that one task compares; a larger bucket is dealt out by blocks that meet each other.
-BUCKET_ROWS = 5_000
-#: Rows of ids, and of colliding buckets, that may be broadcast.
-BROADCAST_ROWS, BUCKETS_BROADCAST = 400_000, 1_000_000
-#: Words of a passage's unit, and the places among which the least hash chooses its beginning.
-UNIT_WORDS, UNIT_PLACES = 40, 11
-UNITS_BROADCAST, MEMO = 400_000, 600_000
-_R = 0x9E3779B97F4A7C15
-
-
-def shingle_hashes(words: list[bytes]) -> np.ndarray:
-    """Distinct sorted 64-bit hashes of the five-word shingles (fewer words: of the whole)."""
-    n = max(1, len(words) - SHINGLE_WORDS + 1)
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((digest(b" ".join(words[i : i + SHINGLE_WORDS])) for i in range(n)), np.uint64, n))
-
-
-def bands(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """(paragraphs, BANDS) keys of the paragraphs whose shingle hashes begin at ``starts``; keys of different bands differ."""
-    least = np.empty((BANDS * ROWS, len(starts)), np.uint64)
-    for k, seed in enumerate(SEEDS):
-        x = hashes ^ seed
-        x *= np.uint64(0xFF51AFD7ED558CCD)
-        x ^= x >> np.uint64(32)
-        x *= np.uint64(0xC4CEB9FE1A85EC53)
-        least[k] = np.minimum.reduceat(x, starts)
-    keys = np.repeat(np.arange(1, BANDS + 1, dtype=np.uint64)[:, None], len(starts), axis=1)
-    for row in range(ROWS):
-        keys = mix64(keys * np.uint64(0x9E3779B97F4A7C15) ^ least[row::ROWS])
-    return keys.T
-
-
-def _paragraphs(least_words: int):
-    names = ["doc_id", "para", "start", "length", "text_key", "bands"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+#: 1 - (1 - 0.8 ** 2) ** 5 = 0.994 for a pair at the threshold, 0.9998 at 0.9; equal paragraphs are one class.
+BANDS, ROWS = 5, 2
+#: Words of a passage, and the places among which the least hash chooses its beginning.
+UNIT_WORDS, UNIT_PLACES = 20, 31
+#: Passages that begin within so many words of the one before are similar to it by their overlap: they have no bands.
+NEAR_WORDS = 2
+#: Members of one block of a bucket.
+BUCKET_ROWS = 250
+#: Rows of keys that may be broadcast; beyond that the join is shuffled and salted.
+BROADCAST_ROWS = 1_000_000
+#: Words remembered by a task.
+MEMO = 600_000
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+SEEDS = mix64(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * _STEP)
+PIECES = "row long, doc_id long, tid long, passage boolean, para int, start int, length int, key long, " + ", ".join(f"m{b} long" for b in range(BANDS))
+
+
+class WordHashes(dict):
+    """64-bit hashes of words, kept within a bound."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = h = xxhash.xxh64_intdigest(word)
+        return h
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        if len(self) > MEMO:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+class Powers:
+    """Powers of an odd number and of its inverse, modulo 2 ** 64, as far as a text needs them."""
+
+    def __init__(self) -> None:
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def reach(self, n: int) -> None:
+        if len(self.up) <= n:
+            size = 2 * n + 1024
+            both = [np.full(size, x, np.uint64) for x in (int(_STEP), pow(int(_STEP), -1, 1 << 64))]
+            for x in both:
+                x[0] = 1
+            self.up, self.down = (np.cumprod(x) for x in both)
+
+
+def _spread_out(at: np.ndarray) -> np.ndarray:
+    """Marks places more than NEAR_WORDS after the last that is marked."""
+    if len(at) < 2 or int(np.diff(at).min()) > NEAR_WORDS:
+        return np.ones(len(at), bool)
+    out, last = [], -NEAR_WORDS - 1
+    for x in at.tolist():
+        out.append(x - last > NEAR_WORDS)
+        if out[-1]:
+            last = x
+    return np.array(out)
+
+
+class Text:
+    """The paragraphs of a text: per paragraph the first word, the word after the last, and whether it is a passage."""
+
+    def __init__(self, text: str, words: WordHashes, powers: Powers, least_words: int = LEAST_WORDS) -> None:
+        self.raw = text.encode("utf-8", "replace")
+        found = self.raw.lower().split()
+        self.first = self.last = self.keys = np.zeros(0, np.int64)
+        self.passage = self.banded = np.zeros(0, bool)
+        if len(found) < min(least_words, UNIT_WORDS):
+            return
+        h = mix64(words.of(found))
+        powers.reach(len(h) + 1)
+        # the hash of a stretch is a difference of prefix sums, moved back to power 0
+        sums = np.zeros(len(h) + 1, np.uint64)
+        np.cumsum(h * powers.up[: len(h)], out=sums[1:])
+        x = np.frombuffer(self.raw, np.uint8)
+        blank = (x == 32) | ((x >= 9) & (x <= 13))
+        self.begin = np.flatnonzero(~blank & np.concatenate([[True], blank[:-1]]))
+        self.end = np.flatnonzero(~blank & np.concatenate([blank[1:], [True]])) + 1
+        self.breaks = np.flatnonzero(x == 10)
+        edges = np.searchsorted(self.begin, np.concatenate([[0], self.breaks, [len(x)]]))
+        lines = np.flatnonzero(np.diff(edges) >= least_words)
+        first, last = edges[lines], edges[lines + 1]
+        keys = mix64((sums[last] - sums[first]) * powers.down[first])
+        places = len(h) - UNIT_WORDS + 1
+        at = np.zeros(0, np.int64)
+        if places >= UNIT_PLACES:
+            each = mix64((sums[UNIT_WORDS:] - sums[:-UNIT_WORDS]) * powers.down[:places] + _STEP)
+            at = np.unique(np.lib.stride_tricks.sliding_window_view(each, UNIT_PLACES).argmin(axis=1) + np.arange(places - UNIT_PLACES + 1))
+            keys = np.concatenate([keys, each[at]])
+        self.line = np.concatenate([lines, np.searchsorted(self.breaks, self.begin[at])])
+        self.first, self.last = np.concatenate([first, at]), np.concatenate([last, at + UNIT_WORDS])
+        self.passage, self.keys = np.arange(len(keys)) >= len(lines), keys
+        self.banded = np.concatenate([np.ones(len(lines), bool), _spread_out(at)])
+        s = h[: len(h) - SHINGLE_WORDS + 1].copy()
+        for k in range(1, SHINGLE_WORDS):
+            s += h[k : len(h) - SHINGLE_WORDS + 1 + k] * powers.up[k]
+        self.shingles = mix64(s)
+
+    def bands(self) -> np.ndarray:
+        """(BANDS, banded paragraphs) keys; those of different bands, and of lines and passages, differ."""
+        # every other stretch of reduceat is a paragraph's; the last value closes the last stretch
+        at = np.stack([self.first[self.banded], self.last[self.banded] - SHINGLE_WORDS + 1], 1).reshape(-1)
+        x = np.append(self.shingles, np.uint64(2**64 - 1))
+        kinds = self.passage[self.banded].astype(np.uint64)
+        out = []
+        for band in range(BANDS):
+            key = (kinds * np.uint64(BANDS) + np.uint64(band + 1)) * _STEP
+            for row in range(ROWS):
+                y = (x ^ SEEDS[band * ROWS + row]) * np.uint64(0xFF51AFD7ED558CCD)
+                y ^= y >> np.uint64(32)
+                y[-1] = 2**64 - 1
+                key = mix64(key * _STEP ^ np.minimum.reduceat(y, at)[::2])
+            out.append(key)
+        return np.stack(out)
+
+    def places(self) -> tuple[np.ndarray, np.ndarray]:
+        """Start and length in code points: of passages their words', of lines the whole line's."""
+        low, high = self.begin[self.first], self.end[self.last - 1]
+        lines = self.line[~self.passage]
+        edges = np.concatenate([[-1], self.breaks, [len(self.raw)]])
+        low[~self.passage], high[~self.passage] = edges[lines] + 1, edges[lines + 1]
+        if not self.raw.isascii():
+            points = np.concatenate([[0], np.cumsum((np.frombuffer(self.raw, np.uint8) & 0xC0) != 0x80)])
+            low, high = points[low], points[high]
+        return low, high - low
+
+
+def _pieces(least_words: int):
+    names = [x.split()[0] for x in PIECES.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh64_intdigest
-        rows: list[tuple] = []
-        hashes: list[int] = []
-        starts: list[int] = []
+        words, powers = WordHashes(), Powers()
+        held: list[list] = []
+        size = 0
 
         def ready() -> pa.RecordBatch:
-            keys = bands(np.array(hashes, np.uint64), np.array(starts))
-            columns = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)]
-            offsets = pa.array(np.arange(0, BANDS * len(rows) + 1, BANDS, dtype=np.int32))
-            return pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(offsets, pa.array(keys.reshape(-1).view(np.int64)))], names)
+            columns = []
+            for k, parts in enumerate(zip(*held, strict=True)):
+                if k < 3:  # what a text has once
+                    columns.append(pa.array([v for v, part in zip(parts, held, strict=True) for _ in range(len(part[3]))], pa.int64()))
+                elif k < 8:
+                    columns.append(pa.array(np.concatenate(parts)))
+                else:
+                    bands, mask = np.concatenate([p[1] for p in parts], axis=1), np.concatenate([p[0] for p in parts])
+                    for band in bands:
+                        full = np.zeros(len(mask), np.uint64)
+                        full[mask] = band
+                        columns.append(pa.array(full.view(np.int64), mask=~mask))
+            return pa.RecordBatch.from_arrays(columns, names)
 
         for batch in batches:
-            for doc, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                start = 0
-                for number, line in enumerate((value.as_py() or "").split("\n")):
-                    words = line.encode("utf-8", "replace").lower().split()
-                    if len(words) >= least_words:
-                        rows.append((doc, number, start, len(line), md5(b" ".join(words)).digest()))
-                        starts.append(len(hashes))
-                        hashes += [digest(b" ".join(words[i : i + SHINGLE_WORDS])) for i in range(max(1, len(words) - SHINGLE_WORDS + 1))]
-                    start += len(line) + 1
-                    if len(hashes) > 200_000:
+            for row, doc, tid, value in zip(*(batch.column(c).to_pylist() for c in range(3)), batch.column(3), strict=True):
+                text = Text(value.as_py() or "", words, powers, least_words)
+                if len(text.keys):
+                    start, length = text.places()
+                    held.append([row, doc, tid, text.passage, text.line.astype(np.int32), start.astype(np.int32), length.astype(np.int32), text.keys.view(np.int64), (text.banded, text.bands())])
+                    size += len(text.keys)
+                    if size > 50_000:
                         yield ready()
-                        rows, hashes, starts = [], [], []
-        if rows:
+                        held, size = [], 0
+        if held:
             yield ready()
 
     return run
 
 
-def content_key(line: Column) -> Column:
-    """The key that ``_paragraphs`` gives a line."""
-    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    return F.unhex(F.md5(F.trim(F.regexp_replace(F.translate(line, upper, upper.lower()), SPACE + "+", " ")).cast("binary")))
+def _shingles(least_words: int):
+    """(key, shingles) of the wanted paragraphs of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, powers = WordHashes(), Powers()
+        for batch in batches:
+            keys, sets, size = [], [], 0
+            for wanted, value in zip(batch.column(0), batch.column(1), strict=True):
+                text = Text(value.as_py() or "", words, powers, least_words)
+                own = text.keys.view(np.int64)
+                for i in np.flatnonzero(np.isin(own, wanted.values.to_numpy())):
+                    keys.append(int(own[i]))
+                    sets.append(np.unique(text.shingles[text.first[i] : text.last[i] - SHINGLE_WORDS + 1]).view(np.int64))
+                    size += len(sets[-1])
+                if size > 500_000:
+                    yield _sets(keys, sets)
+                    keys, sets, size = [], [], 0
+            if keys:
+                yield _sets(keys, sets)
+
+    return run
+
+
+def _sets(keys: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+    offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets)))], ["key", "shingles"])
 
 
-def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (len(a) + len(b) - both)
+def similar(a: set, b: set, similarity: float) -> bool:
+    """Whether the Jaccard similarity of two sets is at least ``similarity``."""
+    less, more = (a, b) if len(a) <= len(b) else (b, a)
+    if len(less) < similarity * len(more):
+        return False
+    both = len(less & more)
+    return both >= similarity * (len(a) + len(b) - both)
 
 
-def bucket_links(nodes: list[int], sets: list[np.ndarray], similarity: float, mine: list[bool] | None = None, theirs: list[bool] | None = None) -> list[tuple[int, int]]:
+def bucket_links(nodes: list[int], sets: list[set], similarity: float, mine: list[bool] | None = None, theirs: list[bool] | None = None) -> list[tuple[int, int]]:
     """Links that connect what the similar pairs connect. ``mine`` and ``theirs``: only pairs with one of each are due."""
     groups: list[list[int]] = []
     links = []
@@ -121,7 +242,7 @@ def bucket_links(nodes: list[int], sets: list[np.ndarray], similarity: float, mi
         joined: list[int] = []
         for g, members in enumerate(groups):
             for j in members:
-                if (mine is None or (mine[i] and theirs[j]) or (mine[j] and theirs[i])) and similarity * max(len(sets[i]), len(sets[j])) <= min(len(sets[i]), len(sets[j])) and jaccard(sets[i], sets[j]) >= similarity:
+                if (mine is None or (mine[i] and theirs[j]) or (mine[j] and theirs[i])) and similar(sets[i], sets[j], similarity):
                     links.append((nodes[i], nodes[j]))
                     joined.append(g)
                     break
@@ -148,11 +269,8 @@ def _verify(similarity: float):
                 if (at, cell) != key:
                     yield from done()
                     key, nodes, sets, mine, theirs = (at, cell), [], [], [], []
-                if nodes and nodes[-1] == node:
-                    mine[-1], theirs[-1] = mine[-1] or m, theirs[-1] or t
-                    continue
                 nodes.append(node)
-                sets.append(shingle_hashes(value.as_py().encode("utf-8", "replace").lower().split()))
+                sets.append(set(value.values.to_numpy().tolist()))
                 mine.append(m)
                 theirs.append(t)
         yield from done()
@@ -160,151 +278,60 @@ def _verify(similarity: float):
     return run
 
 
-def similar_paragraphs(docs: DataFrame, text: str = "text", least_words: int = LEAST_WORDS, similarity: float = SIMILARITY, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """One row per paragraph that is in a cluster of two or more: doc_id, para, start, length, class_id, cluster_id,
-    copies, links, kept.
-
-    ``para`` counts the lines from 0; start and length are in code points. Equal paragraphs share class_id, linked ones
-    cluster_id; ``copies`` is the number of paragraphs of the class, ``links`` 1 if another class is in the cluster.
-    One paragraph of a cluster is kept, the first of its least (doc_id, para). A paragraph that repeats within one
-    document counts like any other. Null and empty texts have none; rows that repeat a doc_id are told apart by nothing
-    but their content; rows with a null doc_id take part and never are the one kept unless all are. An empty table gives
-    an empty result; other columns are ignored.
-    """
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    places = cut(own.mapInArrow(_paragraphs(least_words), "doc_id long, para long, start long, length long, text_key binary, bands array<long>"))
-    # A class is named by 64 bits of its 128-bit content key; its text is read again where its first paragraph lies.
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "para")
-    classes = places.groupBy("text_key").agg(F.min(order).alias("first"), F.count("*").alias("copies"), F.min("bands").alias("bands"))
-    classes = cut(classes.withColumn("node", F.xxhash64("text_key")))
-    keyed = classes.select("node", F.explode_outer("bands").alias("bucket"))
-    # Buckets with the same members: as many of them, and the same XOR of their hashes.
-    shared = keyed.groupBy("bucket").agg(F.count("*").alias("members"), F.bit_xor(F.xxhash64("node")).alias("mark")).filter("members > 1")
-    shared = cut(shared.groupBy("members", "mark").agg(F.min("bucket").alias("bucket")).select("bucket", "members"))
-    members = cut(keyed.join(bounded_broadcast(shared, shared.count(), BUCKETS_BROADCAST), "bucket"))
-    heads = cut(
-        classes.join(members.select("node").distinct(), "node", "left_semi").select(
-            F.col("first.doc_id").alias("doc_id"), F.col("first.para").cast("int").alias("para"), "text_key", "node"
-        )
-    )
-    ids = heads.select(F.col("doc_id").alias("id")).distinct()
-    some = own.join(bounded_broadcast(ids, ids.count(), BROADCAST_ROWS), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
-    lines = some.select("doc_id", F.posexplode_outer(F.split("text", "\n")).alias("para", "line")).filter(F.size(F.split("line", SPACE + "+")) >= least_words)
-    lines = lines.withColumn("text_key", content_key(F.col("line")))
-    same = lines["doc_id"].eqNullSafe(heads["doc_id"]) & (lines["para"] == heads["para"]) & (lines["text_key"] == heads["text_key"])
-    texts = cut(lines.join(heads, same).select("node", "line").groupBy("node").agg(F.min("line").alias("line")))
-    side = F.ceil(F.col("members") / bucket_rows).cast("int")
-    dealt = members.withColumn("side", side).withColumn("at", F.pmod(F.xxhash64("node"), F.col("side")).cast("int"))
+def _links(classes: DataFrame, shingles: DataFrame, shared: DataFrame, similarity: float, bucket_rows: int, broadcast_rows: int) -> DataFrame:
+    """(a, b) keys of similar classes. ``classes``: (key, bands); ``shared``: (bucket) that hold two classes or more."""
+    members = cut(spread_join(classes.select("key", F.explode("bands").alias("bucket")), shared, "bucket", broadcast_rows).distinct())
+    # Buckets with the same members need one look: as many of them, the same least, greatest and XOR of hashes.
+    same = members.groupBy("bucket").agg(F.count("*").alias("members"), F.min("key").alias("low"), F.max("key").alias("high"), F.bit_xor(F.xxhash64("key")).alias("mark"))
+    same = cut(same.groupBy("members", "low", "high", "mark").agg(F.min("bucket").alias("bucket")).select("bucket", F.ceil(F.col("members") / bucket_rows).cast("int").alias("side")))
+    dealt = spread_join(members, same, "bucket", broadcast_rows).withColumn("at", F.pmod(F.xxhash64("key"), F.col("side")).cast("int"))
+    # block i meets block k in the cell (lesser, greater); the lesser's members are "mine"
     cells = dealt.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("side") - 1)))
-    mine = cells.select("bucket", (F.col("at") * F.col("side") + F.col("k")).alias("cell"), "node", F.lit(True).alias("mine"), (F.col("at") == F.col("k")).alias("theirs"))
-    theirs = cells.filter("k <> at").select("bucket", (F.col("k") * F.col("side") + F.col("at")).alias("cell"), "node", F.lit(False).alias("mine"), F.lit(True).alias("theirs"))
-    dealt_out = mine.unionByName(theirs).join(texts, "node").select("bucket", "cell", "node", "mine", "theirs", "line")
-    links = dealt_out.repartition("bucket", "cell").sortWithinPartitions("bucket", "cell", "node").mapInArrow(_verify(similarity), "a long, b long")
-    found = cut(components(links))
-    clusters = classes.join(found, "node", "left").select("text_key", "node", "copies", "first", F.coalesce("component", "node").alias("cluster"), F.col("component").isNotNull().cast("long").alias("links"))
-    heads_of = clusters.groupBy("cluster").agg(F.min("first").alias("head"), F.sum("copies").alias("all")).filter("all > 1")
-    kept = cut(clusters.join(heads_of, "cluster").select("text_key", F.col("node").alias("class_id"), F.col("cluster").alias("cluster_id"), "copies", "links", "head"))
-    out = places.join(kept, "text_key")
-    first = F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("para") == F.col("head.para"))
-    return out.select("doc_id", "para", "start", "length", "class_id", "cluster_id", "copies", "links", first.alias("kept"))
-
-
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
-
-
-_powers = [np.cumprod(np.full(1 << 15, x, np.uint64)) for x in (_R, pow(_R, -1, 1 << 64))]
-
-
-def units(text: str, words: WordHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
-    """Hash, first and last code point (exclusive) and line of each unit; none in texts of under 50 words."""
-    raw = text.encode("utf-8", "replace")
-    found = raw.lower().split()
-    n = len(found) - UNIT_WORDS + 1
-    if n < UNIT_PLACES:
-        return None
-    if len(words) > MEMO:
-        words.clear()
-    if len(found) > len(_powers[0]):
-        _powers[:] = [np.cumprod(np.full(2 * len(found), x, np.uint64)) for x in (_R, pow(_R, -1, 1 << 64))]
-    # a window's polynomial hash is a difference of prefix sums, moved back to power 0
-    sums = np.zeros(len(found) + 1, np.uint64)
-    np.cumsum(np.fromiter((words[w] for w in found), np.uint64, len(found)) * _powers[0][: len(found)], out=sums[1:])
-    hashes = mix64((sums[UNIT_WORDS:] - sums[:-UNIT_WORDS]) * _powers[1][:n])
-    least = np.lib.stride_tricks.sliding_window_view(hashes, UNIT_PLACES).argmin(axis=1)
-    at = np.unique(least + np.arange(len(least)))
-    x = np.frombuffer(raw, np.uint8)
-    blank = np.concatenate([[True], (x == 32) | ((x >= 9) & (x <= 13)), [True]])
-    begin, end = np.flatnonzero(blank[:-1] & ~blank[1:]), np.flatnonzero(~blank[:-1] & blank[1:])
-    points = np.concatenate([[0], np.cumsum((x & 0xC0) != 0x80)])
-    breaks = np.flatnonzero(x == 10)
-    first = begin[at]
-    return hashes[at], points[first], points[end[at + UNIT_WORDS - 1]], np.searchsorted(breaks, first)
-
-
-def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    words = WordHashes()
-    for batch in batches:
-        rows, held = [], 0
-        for at, (row, doc, value) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True), 1):
-            if found := units(value.as_py() or "", words):
-                rows.append((row, doc, found[0].view(np.int64), *(x.astype(np.int32) for x in found[1:])))
-                held += len(found[0])
-            if rows and (held > 100_000 or at == batch.num_rows):
-                columns = list(zip(*rows, strict=True))
-                offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in columns[2]])]).astype(np.int32))
-                lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x))) for x in columns[2:]]
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), *lists], ["row", "doc_id", "hashes", "starts", "ends", "paras"])
-                rows, held = [], 0
-
-
-def repeated_passages(docs: DataFrame, text: str = "text", broadcast_rows: int = UNITS_BROADCAST) -> DataFrame:
-    """One row per passage that repeats word for word (ASCII case aside), with the columns of ``similar_paragraphs``.
-
-    Every passage of 50 words that two places share, in one text or two, is in both of their rows but for up to
-    UNIT_PLACES - 1 words at an end; a row has UNIT_WORDS words at least. A unit's first place, by doc_id (null last), is
-    kept. Overlapping kept units are one passage and name a cluster; the cluster's other rows are the passages elsewhere
-    that repeat it or a part of it. Equal passages share class_id; ``copies`` counts the passages of a class. ``para`` is
-    the line in which the passage begins. Words that a kept passage has too, at an end, stay.
+    cells = cells.select("bucket", (F.least("at", "k") * F.col("side") + F.greatest("at", "k")).alias("cell"), "key", (F.col("at") <= F.col("k")).alias("mine"), (F.col("at") >= F.col("k")).alias("theirs"))
+    rows = cells.join(shingles, "key").select("bucket", "cell", "key", "mine", "theirs", "shingles")
+    return rows.repartition("bucket", "cell").sortWithinPartitions("bucket", "cell", "key").mapInArrow(_verify(similarity), "a long, b long")
+
+
+def similar_paragraphs(
+    docs: DataFrame, text: str = "text", least_words: int = LEAST_WORDS, similarity: float = SIMILARITY, bucket_rows: int = BUCKET_ROWS, broadcast_rows: int = BROADCAST_ROWS
+) -> DataFrame:
+    """One row per paragraph that is in a cluster of two or more: doc_id, unit (line or passage), para, start, length,
+    class_id, cluster_id, copies, links, kept.
+
+    ``para`` is the line, from 0, that the paragraph is or begins in; start and length are in code points. Equal
+    paragraphs share class_id, linked ones cluster_id; ``copies`` is the number of paragraphs of the class, ``links`` 1
+    if another class is in the cluster. One paragraph of a cluster is kept, the first by (doc_id, place); rows that
+    repeat a doc_id count each for itself. A paragraph that repeats within one document counts like any other, and so do
+    the overlapping passages of a text that repeats itself word for word. Null and empty texts have none; texts of any
+    length are read whole. Rows with a null doc_id take part and never are the one kept unless all are. An empty table
+    gives an empty result; other columns are ignored. Classes and shingles are told apart by 64-bit hashes.
     """
-    own = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    found = cut(own.mapInArrow(_units, "row long, doc_id long, hashes array<long>, starts array<int>, ends array<int>, paras array<int>"))
-    each = found.select("row", "doc_id", F.explode(F.arrays_zip("hashes", "starts", "ends", "paras")).alias("u"))
-    each = each.select("row", "doc_id", F.col("u.hashes").alias("unit"), F.col("u.starts").alias("start"), F.col("u.ends").alias("end"), F.col("u.paras").alias("para"))
-    shared = cut(found.select(F.explode("hashes").alias("unit")).groupBy("unit").count().filter("count > 1").select("unit"))
-    hits = cut(each.join(bounded_broadcast(shared, number := shared.count(), broadcast_rows), "unit"))
-    heads = hits.groupBy("unit").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "start")).alias("head"))
-    heads = heads.select("unit", F.col("head.row").alias("head_row"), F.col("head.start").alias("head_start"))
-    kept = F.col("row").eqNullSafe(F.col("head_row")) & F.col("start").eqNullSafe(F.col("head_start"))
-    hits = cut(hits.join(bounded_broadcast(heads, number, broadcast_rows), "unit").withColumn("kept", kept).drop("head_row", "head_start"))
-
-    def passages(rows: DataFrame, *keys: str) -> DataFrame:
-        """``rows`` with the first place of the passage that each is in: overlapping units with equal keys."""
-        order = Window.partitionBy("row", *keys).orderBy("start")
-        begins = F.coalesce(F.col("start") >= F.lag("end").over(order), F.lit(True))
-        return rows.withColumn("_from", F.when(begins, F.col("start"))).withColumn("from", F.last("_from", True).over(order)).drop("_from")
-
-    first = passages(hits.filter("kept")).withColumn("cluster_id", F.xxhash64("row", "from"))
-    names = first.select("unit", "cluster_id")
-    rest = passages(hits.filter("not kept").join(bounded_broadcast(names, number, broadcast_rows), "unit"), "cluster_id")
-    in_order = F.transform(F.array_sort(F.collect_list(F.struct("start", "unit"))), lambda x: x["unit"])
-    whole = first.unionByName(rest).groupBy("row", "cluster_id", "from", "kept").agg(
-        F.first("doc_id").alias("doc_id"), F.min("para").cast("long").alias("para"), F.min("start").cast("long").alias("start"), F.max("end").alias("end"), F.xxhash64(in_order).alias("class_id"),
-    )
-    whole = cut(whole.select("doc_id", "para", "start", (F.col("end") - F.col("start")).alias("length"), "class_id", "cluster_id", "kept"))
-    sizes = whole.groupBy("cluster_id", "class_id").agg(F.count("*").alias("copies"))
-    mixed = sizes.groupBy("cluster_id").agg((F.count("*") > 1).cast("long").alias("links"))
-    out = whole.join(sizes, ["cluster_id", "class_id"]).join(mixed, "cluster_id")
-    return out.select("doc_id", "para", "start", "length", "class_id", "cluster_id", "copies", "links", "kept")
+    own = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col(text).cast("string")).alias("tid"), F.col(text).cast("string").alias("text"))
+    pieces = Stored(own.mapInArrow(_pieces(least_words), PIECES), "paragraphs")
+    copies = cut(pieces.rows.groupBy("key").agg(F.count("*").alias("copies")).filter("copies > 1"))
+    banded = pieces.rows.filter("m0 is not null").select("key", "doc_id", "tid", F.array(*[f"m{b}" for b in range(BANDS)]).alias("bands"))
+    buckets = banded.select("key", F.explode("bands").alias("bucket")).groupBy("bucket").agg(F.min("key").alias("low"), F.max("key").alias("high"))
+    shared = cut(buckets.filter("low <> high").select("bucket"))
+    # The classes of shared buckets, with a text that each is in. Their shingles are made again from these texts.
+    some = spread_join(banded.select("key", "doc_id", "tid", "bands", F.explode("bands").alias("bucket")), shared, "bucket", broadcast_rows)
+    least = F.min(F.struct("tid", F.col("doc_id").isNull().alias("none"), "doc_id")).alias("least")
+    classes = cut(some.groupBy("key").agg(least, F.min("bands").alias("bands")))
+    wanted = cut(classes.groupBy("least").agg(F.collect_list("key").alias("wanted")).select(F.col("least.tid").alias("tid"), F.col("least.doc_id").alias("only"), "wanted"))
+    texts = spread_join(own.select("tid", "doc_id", "text"), wanted, "tid", broadcast_rows // 16).filter(F.col("doc_id").eqNullSafe(F.col("only")))
+    shingles = cut(texts.select("wanted", "text").mapInArrow(_shingles(least_words), "key long, shingles array<long>").groupBy("key").agg(F.first("shingles").alias("shingles")))
+    found = cut(components(_links(classes.select("key", "bands"), shingles, shared, similarity, bucket_rows, broadcast_rows)).withColumnRenamed("node", "key"))
+    clusters = cut(copies.join(found, "key", "full").select("key", F.coalesce("copies", F.lit(1)).alias("copies"), F.coalesce("component", "key").alias("cluster_id"), F.col("component").isNotNull().cast("long").alias("links")))
+    hits = cut(spread_join(pieces.rows.select("row", "doc_id", "passage", "para", "start", "length", "key"), clusters, "key", broadcast_rows))
+    pieces.drop()
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "start")
+    heads = cut(hits.groupBy("cluster_id").agg(F.min(order).alias("head")).select("cluster_id", F.col("head.row").alias("head_row"), F.col("head.start").alias("head_start")))
+    out = spread_join(hits, heads, "cluster_id", broadcast_rows)
+    kept = (F.col("row") == F.col("head_row")) & (F.col("start") == F.col("head_start"))
+    return out.select(
+        "doc_id", F.when(F.col("passage"), "passage").otherwise("line").alias("unit"), F.col("para").cast("long").alias("para"), F.col("start").cast("long").alias("start"),
+        F.col("length").cast("long").alias("length"), F.col("key").alias("class_id"), "cluster_id", "copies", "links", kept.alias("kept"),
+    )
 
 
 def op1_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Similar lines (``unit`` line) and repeated passages (``unit`` passage); each kind has clusters of its own."""
-    docs = table(spark, sf_dir, "documents")
-    lines = similar_paragraphs(docs)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # what the lines shuffled is done with; Spark deletes it once the driver's handles are gone
-    passages = repeated_passages(docs)
-    return lines.withColumn("unit", F.lit("line")).unionByName(passages.withColumn("unit", F.lit("passage")))
+    return similar_paragraphs(table(spark, sf_dir, "documents"))

@@ -16,6 +16,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op4_lm_scoring": lm_scoring.SQL,
     "op3_log_templates": log_templates.SQL,
     "op5_decontamination": decontaminate.SQL,
     "op7_exact_dedup": exact_dedup.SQL,
