@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 
 #: The white space of the contracts: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = r"[\x20\x09-\x0D]"
-#: Copies of a row of the lesser side of a salted join.
-SALTS = 16
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,19 +44,6 @@ def delete_folder(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-class Stored:
-    """A frame written as Parquet in the shared folder; ``rows`` reads it, ``drop`` deletes it."""
-
-    def __init__(self, df: DataFrame, name: str) -> None:
-        self.spark = df.sparkSession
-        self.path = f"{shared_folder(self.spark)}/{name}-{uuid.uuid4().hex}"
-        df.write.parquet(self.path)
-        self.rows = self.spark.read.schema(df.schema).parquet(self.path)
-
-    def drop(self) -> None:
-        delete_folder(self.spark, self.path)
-
-
 def whole(text: Column) -> Column:
     """The text with null as empty."""
     return F.coalesce(text.cast("string"), F.lit(""))
@@ -69,18 +54,19 @@ def bounded_broadcast(df: DataFrame, rows: int, limit: int) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
-def spread_join(rows: DataFrame, keyed: DataFrame, key: str, limit: int) -> DataFrame:
-    """The inner join of ``rows`` with ``keyed``, a frame of few rows a key that is counted here.
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of frames that nothing refers to any more; it does so when the driver collects
+    garbage, which without this may be long after."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
-    Up to ``limit`` rows it is broadcast. Beyond, both are shuffled, ``rows`` salted and ``keyed`` copied to every salt,
-    so that a key that a third of ``rows`` has is read by SALTS tasks.
-    """
-    if keyed.count() <= limit:
-        return rows.join(F.broadcast(keyed), key)
-    # a salt from the row itself: the same however often a lost task is run again
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*[c for c in rows.columns if c != key]), F.lit(SALTS)).cast("int") if len(rows.columns) > 1 else F.lit(0))
-    copied = keyed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(copied, [key, "_salt"]).drop("_salt")
+
+def free_name(df: DataFrame, base: str) -> str:
+    """A column name like ``base`` that ``df`` hasn't."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
 
 
 def strings(column) -> Iterator[str]:

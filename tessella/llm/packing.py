@@ -7,12 +7,13 @@ cost a few integers each. At the end of a partition, the least filled windows of
 their pieces cut to fill the gaps of the others, and what remains becomes sequences of powers of two, so that no
 sequence needs padding unless a rest of an earlier buffer is left alone in its window.
 
-Word ids come from the given tokenizer; a word is encoded once per worker process and remembered within a bound.
+Word ids come from the given tokenizer; a word is encoded once per task and remembered within a bound.
 """
 
 from __future__ import annotations
 
-import sys
+import re
+import struct
 import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
@@ -81,25 +82,28 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b if b in plain else next(others)) for b in range(256)}
 
 
+_FOREIGN = re.compile("[^\\x00-\\x1b\\x20-\\u024f]|<\\|").search
+
+
+def cut_here(text: str) -> bool:
+    """Whether ``encoder`` cuts a text into words itself: it and its lower case have letters below U+0250 alone."""
+    return not _FOREIGN(text) and (text.isascii() or not _FOREIGN(text.lower()))
+
+
 def encoder(path: str) -> Callable[[str], bytes]:
     """Text to its ids as little-endian unsigned 32-bit integers, as the tokenizer at ``path`` gives them without special tokens.
 
-    Texts of Latin letters are cut into words here and encoded word by word, through a memory; the vocabulary's own
-    rules (lower case, no white space, words encoded apart) make that the same. All other texts go to it whole.
+    Texts of Latin letters (``cut_here``) are cut into words and encoded word by word, through a memory; the vocabulary's
+    own rules (lower case, no white space, words encoded apart) make that the same. All other texts go to it whole.
     """
-    import re
-    import struct
-
     import numpy as np
     from tokenizers import Tokenizer
 
-    held = vars(sys).setdefault("_tessella_words", {})  # kept by the worker process from task to task
-    if path not in held:
-        held[path] = (Tokenizer.from_file(path), {}, {})
-    tokenizer, chunks, words = held[path]
+    tokenizer = Tokenizer.from_file(path)
+    chunks: dict[str, bytes] = {}
+    words: dict[str, bytes] = {}
     letters, numbers = _class("L"), _class("N")
     parts = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{letters}{numbers}]+").findall
-    foreign = re.compile("[^\\x00-\\x1b\\x20-\\u024f]|<\\|").search
     bpe, as_letters = tokenizer.model.tokenize, _byte_letters()
 
     def word(w: str) -> bytes:
@@ -112,7 +116,7 @@ def encoder(path: str) -> Callable[[str], bytes]:
         return out
 
     def encode(text: str) -> bytes:
-        if foreign(text):
+        if not cut_here(text):
             return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if len(chunks) > WORDS_KEPT or len(words) > WORDS_KEPT:
             chunks.clear()
@@ -217,9 +221,10 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 def pack(docs: DataFrame, tokenizer_path: str | None = None, text: str = "text", window: int = WINDOW) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    A document's ids are those of its text (null: empty) and then END_ID; each lies in exactly one piece. Offsets in a
-    sequence are gapless from 0. Rows that repeat a doc_id are packed each for itself; a null doc_id stays null. An empty
-    table gives an empty result; other columns are ignored. Sequence ids are unique, not consecutive.
+    A document's ids are those of its text (null: empty) and then END_ID; each lies in exactly one piece. Texts of any
+    length are encoded whole. Offsets in a sequence are gapless from 0. Rows that repeat a doc_id are packed each for
+    itself; a null doc_id stays null. Of rests of one length the one read first is placed first. An empty table gives an
+    empty result; other columns are ignored. Sequence ids are unique, not consecutive.
     """
     if tokenizer_path is None:
         import public_tokenizers

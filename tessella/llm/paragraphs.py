@@ -7,14 +7,15 @@ A paragraph is a stretch of words, of one of two kinds that are never compared w
   UNIT_WORDS words is the least of UNIT_PLACES neighbours (winnowing). Two texts that share UNIT_WORDS + UNIT_PLACES - 1
   = 50 words in a row, whatever surrounds them, share such a stretch.
 
-Equal paragraphs (ASCII lower-cased words) are one class. Every class has a MinHash signature of its five-word shingles
-in BANDS bands of ROWS values. Classes that meet in a band are joined with their shingles and verified by the exact
+Equal paragraphs (ASCII lower-cased words) are one class. Every class has a MinHash signature of its five-word shingles,
+cut into bands of ROWS values. Classes that meet in a band are joined with their shingles and verified by the exact
 Jaccard similarity, and the components of the links are the clusters. In a cluster the first paragraph stays.
 
-All that is known of a paragraph is written once as a table in the shared folder and read column by column. Bands are
-grouped without their members first; only buckets that hold two classes are joined with them. A bucket's members are
-dealt out by blocks of BUCKET_ROWS, each pair of blocks to a cell, so that no task compares a large bucket alone. Within
-a cell similar members join one group: many near copies cost each a few comparisons and give a link each, not all pairs.
+Texts are read in blocks of bytes by NumPy, cheaply enough to be read again for each step: first for the bands (a class
+once a block), then for the classes' copies and first places, then for the shingles of classes that met, last for the
+rows. A bucket's members are dealt out by blocks of BUCKET_ROWS, each pair of blocks to a cell, so that no task compares
+a large bucket alone. Within a cell similar members join one group: many near copies cost each a few comparisons and
+give a link each, not all pairs.
 """
 
 from __future__ import annotations
@@ -23,55 +24,48 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import Stored, cut, mix64, spread_join, table
+from tessella.llm.common import bounded_broadcast, cut, mix64, release, table
 from tessella.llm.components import components
 
 LEAST_WORDS = 20
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
-#: 1 - (1 - 0.8 ** 2) ** 5 = 0.994 for a pair at the threshold, 0.9998 at 0.9; equal paragraphs are one class.
-BANDS, ROWS = 5, 2
+#: Values of a band, and bands of lines and of passages. 1 - (1 - 0.8 ** 3) ** 8 = 0.997 for lines at the threshold. The
+#: most that passages can differ in and be similar is one of 16 shingles each, 15 / 17: 1 - (1 - 0.88 ** 3) ** 4 = 0.990.
+ROWS, LINE_BANDS, PASSAGE_BANDS = 3, 8, 4
 #: Words of a passage, and the places among which the least hash chooses its beginning.
 UNIT_WORDS, UNIT_PLACES = 20, 31
 #: Passages that begin within so many words of the one before are similar to it by their overlap: they have no bands.
 NEAR_WORDS = 2
 #: Members of one block of a bucket.
 BUCKET_ROWS = 250
-#: Rows of keys that may be broadcast; beyond that the join is shuffled and salted.
-BROADCAST_ROWS = 1_000_000
-#: Words remembered by a task.
-MEMO = 600_000
+#: Rows that may be broadcast; beyond that the join is shuffled.
+BROADCAST_ROWS = 400_000
+#: Keys wanted from texts that may be broadcast with their texts' ids.
+WANTED_KEYS = 1_500_000
+#: Bytes of text that are read at once; a longer text is a block of its own.
+BLOCK_BYTES = 1 << 20
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-SEEDS = mix64(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * _STEP)
-PIECES = "row long, doc_id long, tid long, passage boolean, para int, start int, length int, key long, " + ", ".join(f"m{b} long" for b in range(BANDS))
-
-
-class WordHashes(dict):
-    """64-bit hashes of words, kept within a bound."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self) > MEMO:
-            self.clear()
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+SEEDS = mix64(np.arange(1, LINE_BANDS * ROWS + 1, dtype=np.uint64) * _STEP)
+_END = np.uint64(2**64 - 1)
 
 
 class Powers:
-    """Powers of an odd number and of its inverse, modulo 2 ** 64, as far as a text needs them."""
+    """Powers of an odd number and of its inverse, modulo 2 ** 64, as far as a block needs them; a hash for each byte."""
 
     def __init__(self) -> None:
         self.up = self.down = np.ones(1, np.uint64)
+        low = np.arange(256)
+        low[65:91] += 32  # ASCII lower case
+        self.bytes = mix64((low + 1).astype(np.uint64) * _STEP)
+        self.blank = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 
     def reach(self, n: int) -> None:
         if len(self.up) <= n:
-            size = 2 * n + 1024
+            size = n + n // 4 + 1024
             both = [np.full(size, x, np.uint64) for x in (int(_STEP), pow(int(_STEP), -1, 1 << 64))]
             for x in both:
                 x[0] = 1
@@ -80,149 +74,173 @@ class Powers:
 
 def _spread_out(at: np.ndarray) -> np.ndarray:
     """Marks places more than NEAR_WORDS after the last that is marked."""
-    if len(at) < 2 or int(np.diff(at).min()) > NEAR_WORDS:
-        return np.ones(len(at), bool)
-    out, last = [], -NEAR_WORDS - 1
-    for x in at.tolist():
-        out.append(x - last > NEAR_WORDS)
-        if out[-1]:
-            last = x
-    return np.array(out)
-
-
-class Text:
-    """The paragraphs of a text: per paragraph the first word, the word after the last, and whether it is a passage."""
-
-    def __init__(self, text: str, words: WordHashes, powers: Powers, least_words: int = LEAST_WORDS) -> None:
-        self.raw = text.encode("utf-8", "replace")
-        found = self.raw.lower().split()
-        self.first = self.last = self.keys = np.zeros(0, np.int64)
-        self.passage = self.banded = np.zeros(0, bool)
-        if len(found) < min(least_words, UNIT_WORDS):
-            return
-        h = mix64(words.of(found))
-        powers.reach(len(h) + 1)
-        # the hash of a stretch is a difference of prefix sums, moved back to power 0
+    marked = np.ones(len(at), bool)
+    last = 0
+    for i in (np.flatnonzero(np.diff(at) <= NEAR_WORDS) + 1).tolist():
+        last = at[i - 1] if marked[i - 1] else last
+        marked[i] = at[i] - last > NEAR_WORDS
+    return marked
+
+
+class Block:
+    """The paragraphs of some texts: lines first, then passages. ``edges`` are the texts' bounds among the bytes ``x``.
+
+    ``first`` and ``last`` (exclusive) are a paragraph's words, ``doc`` its text, ``keys`` its class.
+    """
+
+    def __init__(self, x: np.ndarray, edges: np.ndarray, powers: Powers, least_words: int = LEAST_WORDS) -> None:
+        self.x, self.edges = x, edges
+        powers.reach(len(x) + 1)
+        blank = powers.blank[x]
+        before, after = np.ones(len(x), bool), np.ones(len(x), bool)
+        before[1:], after[:-1] = blank[:-1], blank[1:]
+        inner = edges[(edges > 0) & (edges < len(x))]
+        before[inner] = after[inner - 1] = True
+        self.begin, self.end = np.flatnonzero(~blank & before), np.flatnonzero(~blank & after) + 1
+        # the hash of a stretch is a difference of prefix sums, moved back to power 0: of bytes for words, of words then
+        sums = np.zeros(len(x) + 1, np.uint64)
+        np.cumsum(powers.bytes[x] * powers.up[: len(x)], out=sums[1:])
+        h = mix64((sums[self.end] - sums[self.begin]) * powers.down[self.begin])
         sums = np.zeros(len(h) + 1, np.uint64)
         np.cumsum(h * powers.up[: len(h)], out=sums[1:])
-        x = np.frombuffer(self.raw, np.uint8)
-        blank = (x == 32) | ((x >= 9) & (x <= 13))
-        self.begin = np.flatnonzero(~blank & np.concatenate([[True], blank[:-1]]))
-        self.end = np.flatnonzero(~blank & np.concatenate([blank[1:], [True]])) + 1
+        owner = np.searchsorted(edges, self.begin, "right") - 1
         self.breaks = np.flatnonzero(x == 10)
-        edges = np.searchsorted(self.begin, np.concatenate([[0], self.breaks, [len(x)]]))
-        lines = np.flatnonzero(np.diff(edges) >= least_words)
-        first, last = edges[lines], edges[lines + 1]
+        line = np.searchsorted(self.breaks, self.begin)
+        turn = np.flatnonzero(np.concatenate([[True], (line[1:] != line[:-1]) | (owner[1:] != owner[:-1])])) if len(h) else np.zeros(0, np.int64)
+        first, last = turn, np.append(turn[1:], len(h))
+        long = last - first >= least_words
+        first, last = first[long], last[long]
         keys = mix64((sums[last] - sums[first]) * powers.down[first])
-        places = len(h) - UNIT_WORDS + 1
-        at = np.zeros(0, np.int64)
+        at, places = np.zeros(0, np.int64), len(h) - UNIT_WORDS + 1
         if places >= UNIT_PLACES:
             each = mix64((sums[UNIT_WORDS:] - sums[:-UNIT_WORDS]) * powers.down[:places] + _STEP)
-            at = np.unique(np.lib.stride_tricks.sliding_window_view(each, UNIT_PLACES).argmin(axis=1) + np.arange(places - UNIT_PLACES + 1))
+            least = np.lib.stride_tricks.sliding_window_view(each, UNIT_PLACES).argmin(axis=1) + np.arange(places - UNIT_PLACES + 1)
+            at = np.unique(least[owner[: len(least)] == owner[UNIT_WORDS + UNIT_PLACES - 2 :]])  # windows within one text
             keys = np.concatenate([keys, each[at]])
-        self.line = np.concatenate([lines, np.searchsorted(self.breaks, self.begin[at])])
+        self.lines, self.keys = len(first), keys
         self.first, self.last = np.concatenate([first, at]), np.concatenate([last, at + UNIT_WORDS])
-        self.passage, self.keys = np.arange(len(keys)) >= len(lines), keys
-        self.banded = np.concatenate([np.ones(len(lines), bool), _spread_out(at)])
-        s = h[: len(h) - SHINGLE_WORDS + 1].copy()
+        self.passage = np.arange(len(keys)) >= self.lines
+        self.banded = np.concatenate([np.ones(self.lines, bool), _spread_out(at)])
+        self.doc, self.line = owner[self.first], line[self.first]
+        s = h[: max(0, len(h) - SHINGLE_WORDS + 1)].copy()
         for k in range(1, SHINGLE_WORDS):
-            s += h[k : len(h) - SHINGLE_WORDS + 1 + k] * powers.up[k]
+            s += h[k : len(s) + k] * powers.up[k]
         self.shingles = mix64(s)
 
-    def bands(self) -> np.ndarray:
-        """(BANDS, banded paragraphs) keys; those of different bands, and of lines and passages, differ."""
-        # every other stretch of reduceat is a paragraph's; the last value closes the last stretch
-        at = np.stack([self.first[self.banded], self.last[self.banded] - SHINGLE_WORDS + 1], 1).reshape(-1)
-        x = np.append(self.shingles, np.uint64(2**64 - 1))
-        kinds = self.passage[self.banded].astype(np.uint64)
-        out = []
-        for band in range(BANDS):
-            key = (kinds * np.uint64(BANDS) + np.uint64(band + 1)) * _STEP
+    def bands(self) -> tuple[np.ndarray, np.ndarray]:
+        """(bucket, key) of each class here, once for each of its bands; buckets of lines and of passages differ."""
+        classes = np.unique(self.keys[self.banded], return_index=True)[1]
+        own = np.flatnonzero(self.banded)[np.sort(classes)]  # in the order of the text: the stretches between stay short
+        kinds, found = self.passage[own], []
+        x = np.append(self.shingles, _END)  # closes the last stretch
+        # every other stretch of reduceat is a paragraph's
+        at = np.stack([self.first[own], self.last[own] - SHINGLE_WORDS + 1], 1).reshape(-1)
+        for band in range(LINE_BANDS):
+            if band == PASSAGE_BANDS:  # the others are of lines alone
+                own, at, kinds = own[~kinds], at.reshape(-1, 2)[~kinds].reshape(-1), kinds[~kinds]
+            if not len(own):
+                break
+            key = (kinds.astype(np.uint64) * np.uint64(LINE_BANDS) + np.uint64(band + 1)) * _STEP
             for row in range(ROWS):
                 y = (x ^ SEEDS[band * ROWS + row]) * np.uint64(0xFF51AFD7ED558CCD)
                 y ^= y >> np.uint64(32)
-                y[-1] = 2**64 - 1
+                y[-1] = _END
                 key = mix64(key * _STEP ^ np.minimum.reduceat(y, at)[::2])
-            out.append(key)
-        return np.stack(out)
+            found.append((key, self.keys[own]))
+        return tuple(np.concatenate(part) for part in zip(*found, strict=True)) if found else (np.zeros(0, np.uint64),) * 2
 
-    def places(self) -> tuple[np.ndarray, np.ndarray]:
-        """Start and length in code points: of passages their words', of lines the whole line's."""
+    def places(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Line in its text, start and length in code points: of passages their words', of lines the whole line's."""
         low, high = self.begin[self.first], self.end[self.last - 1]
-        lines = self.line[~self.passage]
-        edges = np.concatenate([[-1], self.breaks, [len(self.raw)]])
-        low[~self.passage], high[~self.passage] = edges[lines] + 1, edges[lines + 1]
-        if not self.raw.isascii():
-            points = np.concatenate([[0], np.cumsum((np.frombuffer(self.raw, np.uint8) & 0xC0) != 0x80)])
-            low, high = points[low], points[high]
-        return low, high - low
+        start = self.edges[self.doc]
+        lines, n = self.line[: self.lines], self.lines
+        bounds = np.concatenate([[-1], self.breaks, [len(self.x)]])
+        low[:n], high[:n] = np.maximum(bounds[lines] + 1, start[:n]), np.minimum(bounds[lines + 1], self.edges[self.doc[:n] + 1])
+        para = self.line - np.searchsorted(self.breaks, start)
+        if (self.x >= 128).any():
+            points = np.concatenate([[0], np.cumsum((self.x & 0xC0) != 0x80)])
+            low, high, start = points[low], points[high], points[start]
+        return para, low - start, high - low
 
 
-def _pieces(least_words: int):
-    names = [x.split()[0] for x in PIECES.split(", ")]
+def blocks(column: pa.Array, powers: Powers, least_words: int) -> Iterator[tuple[int, Block]]:
+    """The texts of an Arrow string column block by block, with the number of each block's first text."""
+    edges = np.frombuffer(column.buffers()[1], np.int64 if pa.types.is_large_string(column.type) else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+    low = 0
+    while low < len(column):
+        high = max(low + 1, int(np.searchsorted(edges, edges[low] + BLOCK_BYTES, "right")) - 1)
+        yield low, Block(data[edges[low] : edges[high]], edges[low : high + 1] - edges[low], powers, least_words)
+        low = high
+
+
+def _signed(x: np.ndarray) -> pa.Array:
+    return pa.array(np.ascontiguousarray(x).view(np.int64))
 
+
+def _buckets(least_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, powers = WordHashes(), Powers()
-        held: list[list] = []
-        size = 0
-
-        def ready() -> pa.RecordBatch:
-            columns = []
-            for k, parts in enumerate(zip(*held, strict=True)):
-                if k < 3:  # what a text has once
-                    columns.append(pa.array([v for v, part in zip(parts, held, strict=True) for _ in range(len(part[3]))], pa.int64()))
-                elif k < 8:
-                    columns.append(pa.array(np.concatenate(parts)))
-                else:
-                    bands, mask = np.concatenate([p[1] for p in parts], axis=1), np.concatenate([p[0] for p in parts])
-                    for band in bands:
-                        full = np.zeros(len(mask), np.uint64)
-                        full[mask] = band
-                        columns.append(pa.array(full.view(np.int64), mask=~mask))
-            return pa.RecordBatch.from_arrays(columns, names)
+        powers = Powers()
+        for batch in batches:
+            for _, block in blocks(batch.column(0), powers, least_words):
+                buckets, keys = block.bands()
+                yield pa.RecordBatch.from_arrays([_signed(buckets), _signed(keys)], ["bucket", "key"])
 
+    return run
+
+
+def _firsts(least_words: int):
+    """(key, copies, none, doc_id, tid, start) of each class of a block: how often it is there, and its first place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = Powers()
         for batch in batches:
-            for row, doc, tid, value in zip(*(batch.column(c).to_pylist() for c in range(3)), batch.column(3), strict=True):
-                text = Text(value.as_py() or "", words, powers, least_words)
-                if len(text.keys):
-                    start, length = text.places()
-                    held.append([row, doc, tid, text.passage, text.line.astype(np.int32), start.astype(np.int32), length.astype(np.int32), text.keys.view(np.int64), (text.banded, text.bands())])
-                    size += len(text.keys)
-                    if size > 50_000:
-                        yield ready()
-                        held, size = [], 0
-        if held:
-            yield ready()
+            none = batch.column(0).is_null().to_numpy(zero_copy_only=False)
+            doc_id = batch.column(0).fill_null(0).to_numpy()
+            tid = batch.column(1).to_numpy()
+            for low, block in blocks(batch.column(2), powers, least_words):
+                doc, start = low + block.doc, block.places()[1]
+                order = np.lexsort((start, tid[doc], doc_id[doc], none[doc], block.keys))
+                keys = block.keys[order]
+                at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+                own = doc[order][at]
+                columns = [_signed(keys[at]), np.diff(np.append(at, len(keys))), none[own], pa.array(doc_id[own], mask=none[own]), tid[own], start[order][at]]
+                yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], ["key", "copies", "none", "doc_id", "tid", "start"])
 
     return run
 
 
-def _shingles(least_words: int):
-    """(key, shingles) of the wanted paragraphs of each text."""
+def _pieces(least_words: int):
+    """Every paragraph: doc_id, tid, passage, para, start, length, key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, powers = WordHashes(), Powers()
+        powers = Powers()
         for batch in batches:
-            keys, sets, size = [], [], 0
-            for wanted, value in zip(batch.column(0), batch.column(1), strict=True):
-                text = Text(value.as_py() or "", words, powers, least_words)
-                own = text.keys.view(np.int64)
-                for i in np.flatnonzero(np.isin(own, wanted.values.to_numpy())):
-                    keys.append(int(own[i]))
-                    sets.append(np.unique(text.shingles[text.first[i] : text.last[i] - SHINGLE_WORDS + 1]).view(np.int64))
-                    size += len(sets[-1])
-                if size > 500_000:
-                    yield _sets(keys, sets)
-                    keys, sets, size = [], [], 0
-            if keys:
-                yield _sets(keys, sets)
+            for low, block in blocks(batch.column(2), powers, least_words):
+                own = pa.array(low + block.doc)
+                columns = [batch.column(0).take(own), batch.column(1).take(own), pa.array(block.passage), *map(pa.array, block.places()), _signed(block.keys)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "tid", "passage", "para", "start", "length", "key"])
 
     return run
 
 
-def _sets(keys: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
-    offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-    return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets)))], ["key", "shingles"])
+def _shingles(least_words: int):
+    """(key, shingles) of the wanted paragraphs of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = Powers()
+        for batch in batches:
+            wanted = batch.column(0)
+            for low, block in blocks(batch.column(1), powers, least_words):
+                own = np.unique(wanted.slice(low, len(block.edges) - 1).flatten().to_numpy()).view(np.uint64)
+                keys, at = np.unique(block.keys, return_index=True)
+                at = at[np.isin(keys, own)]
+                if len(at):
+                    sets = [np.unique(block.shingles[a : b - SHINGLE_WORDS + 1]) for a, b in zip(block.first[at].tolist(), block.last[at].tolist(), strict=True)]
+                    offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([_signed(block.keys[at]), pa.ListArray.from_arrays(pa.array(offsets), _signed(np.concatenate(sets)))], ["key", "shingles"])
+
+    return run
 
 
 def similar(a: set, b: set, similarity: float) -> bool:
@@ -269,6 +287,8 @@ def _verify(similarity: float):
                 if (at, cell) != key:
                     yield from done()
                     key, nodes, sets, mine, theirs = (at, cell), [], [], [], []
+                if nodes and nodes[-1] == node:  # of a text that is there twice
+                    continue
                 nodes.append(node)
                 sets.append(set(value.values.to_numpy().tolist()))
                 mine.append(m)
@@ -278,13 +298,12 @@ def _verify(similarity: float):
     return run
 
 
-def _links(classes: DataFrame, shingles: DataFrame, shared: DataFrame, similarity: float, bucket_rows: int, broadcast_rows: int) -> DataFrame:
-    """(a, b) keys of similar classes. ``classes``: (key, bands); ``shared``: (bucket) that hold two classes or more."""
-    members = cut(spread_join(classes.select("key", F.explode("bands").alias("bucket")), shared, "bucket", broadcast_rows).distinct())
+def _links(members: DataFrame, shingles: DataFrame, similarity: float, bucket_rows: int, broadcast_rows: int) -> DataFrame:
+    """(a, b) keys of similar classes. ``members`` (bucket, key) of buckets that hold two classes or more."""
     # Buckets with the same members need one look: as many of them, the same least, greatest and XOR of hashes.
     same = members.groupBy("bucket").agg(F.count("*").alias("members"), F.min("key").alias("low"), F.max("key").alias("high"), F.bit_xor(F.xxhash64("key")).alias("mark"))
     same = cut(same.groupBy("members", "low", "high", "mark").agg(F.min("bucket").alias("bucket")).select("bucket", F.ceil(F.col("members") / bucket_rows).cast("int").alias("side")))
-    dealt = spread_join(members, same, "bucket", broadcast_rows).withColumn("at", F.pmod(F.xxhash64("key"), F.col("side")).cast("int"))
+    dealt = members.join(bounded_broadcast(same, same.count(), broadcast_rows), "bucket").withColumn("at", F.pmod(F.xxhash64("key"), F.col("side")).cast("int"))
     # block i meets block k in the cell (lesser, greater); the lesser's members are "mine"
     cells = dealt.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("side") - 1)))
     cells = cells.select("bucket", (F.least("at", "k") * F.col("side") + F.greatest("at", "k")).alias("cell"), "key", (F.col("at") <= F.col("k")).alias("mine"), (F.col("at") >= F.col("k")).alias("theirs"))
@@ -300,37 +319,43 @@ def similar_paragraphs(
 
     ``para`` is the line, from 0, that the paragraph is or begins in; start and length are in code points. Equal
     paragraphs share class_id, linked ones cluster_id; ``copies`` is the number of paragraphs of the class, ``links`` 1
-    if another class is in the cluster. One paragraph of a cluster is kept, the first by (doc_id, place); rows that
-    repeat a doc_id count each for itself. A paragraph that repeats within one document counts like any other, and so do
-    the overlapping passages of a text that repeats itself word for word. Null and empty texts have none; texts of any
-    length are read whole. Rows with a null doc_id take part and never are the one kept unless all are. An empty table
-    gives an empty result; other columns are ignored. Classes and shingles are told apart by 64-bit hashes.
+    if another class is in the cluster. One paragraph of a cluster is kept, the first by (doc_id, text, place); rows that
+    repeat a doc_id and its text count each for itself and are kept or not alike. A paragraph that repeats within one
+    document counts like any other, and so do the overlapping passages of a text that repeats itself word for word. Null
+    and empty texts have none; texts of any length are read whole. Rows with a null doc_id take part and never are the
+    one kept unless all are. An empty table gives an empty result; other columns are ignored. Words, classes and shingles
+    are told apart by 64-bit hashes.
     """
-    own = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col(text).cast("string")).alias("tid"), F.col(text).cast("string").alias("text"))
-    pieces = Stored(own.mapInArrow(_pieces(least_words), PIECES), "paragraphs")
-    copies = cut(pieces.rows.groupBy("key").agg(F.count("*").alias("copies")).filter("copies > 1"))
-    banded = pieces.rows.filter("m0 is not null").select("key", "doc_id", "tid", F.array(*[f"m{b}" for b in range(BANDS)]).alias("bands"))
-    buckets = banded.select("key", F.explode("bands").alias("bucket")).groupBy("bucket").agg(F.min("key").alias("low"), F.max("key").alias("high"))
-    shared = cut(buckets.filter("low <> high").select("bucket"))
-    # The classes of shared buckets, with a text that each is in. Their shingles are made again from these texts.
-    some = spread_join(banded.select("key", "doc_id", "tid", "bands", F.explode("bands").alias("bucket")), shared, "bucket", broadcast_rows)
-    least = F.min(F.struct("tid", F.col("doc_id").isNull().alias("none"), "doc_id")).alias("least")
-    classes = cut(some.groupBy("key").agg(least, F.min("bands").alias("bands")))
-    wanted = cut(classes.groupBy("least").agg(F.collect_list("key").alias("wanted")).select(F.col("least.tid").alias("tid"), F.col("least.doc_id").alias("only"), "wanted"))
-    texts = spread_join(own.select("tid", "doc_id", "text"), wanted, "tid", broadcast_rows // 16).filter(F.col("doc_id").eqNullSafe(F.col("only")))
-    shingles = cut(texts.select("wanted", "text").mapInArrow(_shingles(least_words), "key long, shingles array<long>").groupBy("key").agg(F.first("shingles").alias("shingles")))
-    found = cut(components(_links(classes.select("key", "bands"), shingles, shared, similarity, bucket_rows, broadcast_rows)).withColumnRenamed("node", "key"))
-    clusters = cut(copies.join(found, "key", "full").select("key", F.coalesce("copies", F.lit(1)).alias("copies"), F.coalesce("component", "key").alias("cluster_id"), F.col("component").isNotNull().cast("long").alias("links")))
-    hits = cut(spread_join(pieces.rows.select("row", "doc_id", "passage", "para", "start", "length", "key"), clusters, "key", broadcast_rows))
-    pieces.drop()
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "start")
-    heads = cut(hits.groupBy("cluster_id").agg(F.min(order).alias("head")).select("cluster_id", F.col("head.row").alias("head_row"), F.col("head.start").alias("head_start")))
-    out = spread_join(hits, heads, "cluster_id", broadcast_rows)
-    kept = (F.col("row") == F.col("head_row")) & (F.col("start") == F.col("head_start"))
-    return out.select(
-        "doc_id", F.when(F.col("passage"), "passage").otherwise("line").alias("unit"), F.col("para").cast("long").alias("para"), F.col("start").cast("long").alias("start"),
-        F.col("length").cast("long").alias("length"), F.col("key").alias("class_id"), "cluster_id", "copies", "links", kept.alias("kept"),
-    )
+    t = F.col(text).cast("string")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(t).alias("tid"), F.coalesce(t, F.lit("")).alias("text"))
+    bands = own.select("text").mapInArrow(_buckets(least_words), "bucket long, key long").repartition("bucket")
+    same = Window.partitionBy("bucket")
+    mixed = bands.withColumn("low", F.min("key").over(same)).withColumn("high", F.max("key").over(same)).filter("low <> high")
+    members = cut(mixed.select("bucket", "key").distinct())
+    del bands, mixed
+    release(docs.sparkSession)
+    firsts = own.mapInArrow(_firsts(least_words), "key long, copies long, none boolean, doc_id long, tid long, start long")
+    firsts = firsts.select("key", "copies", F.struct("none", "doc_id", "tid", "start").alias("first"), F.lit(0).alias("met"))
+    met = members.select("key").distinct().select("key", F.lit(0).cast("long").alias("copies"), F.lit(None).cast("struct<none:boolean,doc_id:bigint,tid:bigint,start:bigint>").alias("first"), F.lit(1).alias("met"))
+    classes = firsts.unionAll(met).groupBy("key").agg(F.sum("copies").alias("copies"), F.min("first").alias("first"), F.max("met").alias("met"))
+    classes = cut(classes.filter("copies > 1 or met = 1"))
+    del firsts, met
+    release(docs.sparkSession)
+    # The shingles of classes that met are made again from the text of each one's first place.
+    wanted = classes.filter("met = 1").groupBy(F.col("first.tid").alias("tid"), F.col("first.doc_id").alias("only")).agg(F.collect_list("key").alias("wanted"))
+    wanted = bounded_broadcast(cut(wanted), classes.filter("met = 1").count(), WANTED_KEYS)
+    texts = own.join(wanted, (own["tid"] == wanted["tid"]) & own["doc_id"].eqNullSafe(wanted["only"])).select("wanted", "text")
+    shingles = texts.mapInArrow(_shingles(least_words), "key long, shingles array<long>")
+    found = cut(components(_links(members, shingles, similarity, bucket_rows, broadcast_rows)).withColumnRenamed("node", "key"))
+    del wanted, texts, shingles, members
+    clusters = cut(classes.join(found, "key", "left").filter("copies > 1 or component is not null").select("key", "copies", "first", F.coalesce("component", "key").alias("cluster_id"), F.col("component").isNotNull().cast("long").alias("links")))
+    heads = cut(clusters.groupBy("cluster_id").agg(F.min("first").alias("head")).select("cluster_id", F.col("head.doc_id").alias("head_id"), F.col("head.tid").alias("head_tid"), F.col("head.start").alias("head_start")))
+    clusters = cut(clusters.drop("first").join(bounded_broadcast(heads, heads.count(), broadcast_rows), "cluster_id"))
+    release(docs.sparkSession)
+    pieces = own.mapInArrow(_pieces(least_words), "doc_id long, tid long, passage boolean, para long, start long, length long, key long")
+    out = pieces.join(bounded_broadcast(clusters, clusters.count(), broadcast_rows), "key")
+    kept = F.col("doc_id").eqNullSafe(F.col("head_id")) & (F.col("tid") == F.col("head_tid")) & (F.col("start") == F.col("head_start"))
+    return out.select("doc_id", F.when(F.col("passage"), "passage").otherwise("line").alias("unit"), "para", "start", "length", F.col("key").alias("class_id"), "cluster_id", "copies", "links", kept.alias("kept"))
 
 
 def op1_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
