@@ -3,8 +3,8 @@
 Items are short and documents long, so the similarity of their full sets says nothing; containment does. Each item is
 sketched by its SKETCH smallest shingle hashes (a bottom-k MinHash), and a document is searched for these hashes: the
 share found estimates how much of the item it contains. Documents are partitioned by size: the longer a partition's
-documents, the more hits it takes to become a candidate, up to LEAST_HITS, so that chance hits in long texts cost little. An item contained to 80 % misses 4 of 16 hits with a
-probability of 2e-8. Candidates are verified by the exact containment of the item's shingles, compared as text.
+documents, the more hits it takes to become a candidate, up to LEAST_HITS, so that chance hits in long texts cost little.
+An item contained to 80 % misses 4 of 16 hits with a probability of 2e-8. Candidates are verified by the exact containment of the item's shingles, compared as text.
 
 Items are counted before anything is broadcast; beyond the limit the search is a shuffled join on the hash.
 """
@@ -62,11 +62,12 @@ def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", item_tex
     """(doc_id, item_id, shingles, found, containment) for each item of which a document contains ``containment`` or more.
 
     Shingles are five words, lower-cased, without punctuation. An item of fewer words is one shingle of its whole length;
-    an item without words is in no document. Null and empty documents contain nothing. Rows that repeat a doc_id count as
-    one document, rows that repeat an item_id as one item; rows with a null doc_id or item_id are left out. Empty tables
-    give an empty result; other columns are ignored.
+    an item without words is in no document. Null and empty documents contain nothing; documents of any length are read
+    whole. Rows that repeat a doc_id count as one document, rows that repeat an item_id as one item; rows with a null
+    doc_id or item_id are left out. Empty tables give an empty result; other columns are ignored. doc_id may be of any type
+    that can be grouped.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words(F.col(text)).alias("words")).filter("doc_id is not null")
+    docs = docs.select("doc_id", words(F.col(text)).alias("words")).filter("doc_id is not null")
     items = items.select(F.col("item_id").cast("long").alias("item_id"), words(F.col(item_text)).alias("words")).filter("item_id is not null and size(words) > 0")
     items = items.withColumn("size", F.least(F.size("words"), F.lit(SHINGLE_WORDS)))
     sizes = sorted(r.size for r in items.select("size").distinct().collect()) or [SHINGLE_WORDS]

@@ -1,12 +1,12 @@
 """Exact duplicates by deterministic block naming (operator 7), DataFrame functions only.
 
-A text is cut into blocks of a fixed number of bytes. All distinct blocks of the corpus are sorted, and a block's
-integer name is its place in that order; two blocks share a name exactly when they are equal. Then adjacent pairs of
-names are named in the same way, round after round, until each text has one name. Equal names of the last round mean
-equal texts: no hash decides.
+A text is cut into blocks of a fixed number of bytes. All distinct blocks of the corpus are sorted, by their 64-bit hash
+and then by themselves, and named by integers in that order; two blocks share a name exactly when they are equal. Then
+adjacent pairs of names are named in the same way, round after round, until each text has one name. Equal names of the
+last round mean equal texts: no hash decides.
 
-Names are compared through a 64-bit hash only where that is proven harmless: every distinct block is shuffled once
-together with its hash, and if two distinct blocks of the corpus share one, the names come from a join on the blocks.
+Every distinct block is shuffled once together with its hash. A hash that only one block has names that block, so that
+places need to carry the hash alone; the blocks of a hash that several share, and only those, are named by themselves.
 """
 
 from __future__ import annotations
@@ -40,9 +40,13 @@ def _block_names(docs: DataFrame, text: str, block_bytes: int) -> DataFrame:
     ).withColumn("h", F.xxhash64("block"))
     places = cut(blocks.select("doc_id", "sha", "n", "pos", "h"))
     variants = cut(blocks.select("h", "block").distinct().groupBy("h").agg(F.count("*").alias("variants")))
-    if variants.filter("variants > 1").isEmpty():  # a hash stands for one block only: its order is an order of the blocks
-        return places.join(_named(variants, ["h"]), "h").select("doc_id", "sha", "n", "pos", "name")
-    return blocks.join(_named(blocks, ["h", "block"]), ["h", "block"]).select("doc_id", "sha", "n", "pos", "name")
+    out = places.join(_named(variants.filter("variants = 1"), ["h"]), "h").select("doc_id", "sha", "n", "pos", "name")
+    several = variants.filter("variants > 1").select("h")
+    if several.isEmpty():
+        return out
+    own = blocks.join(several, "h", "left_semi")
+    names = _named(own, ["h", "block"]).withColumn("name", -2 - F.col("name"))  # apart from the others' names and from -1
+    return out.unionAll(own.join(names, ["h", "block"]).select("doc_id", "sha", "n", "pos", "name"))
 
 
 def identities(docs: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -74,7 +78,8 @@ def exact_duplicates(docs: DataFrame, text: str = "text", block_bytes: int = BLO
 
     Null text counts as empty. In a group of equal texts the smallest doc_id stays (a null one only in a group without
     any other); rows that repeat a doc_id and its text count in group_size, and one of them is kept. An empty table
-    gives an empty result. Texts that differ only in the kind or length of white space runs are equal; case counts.
+    gives an empty result. Texts of any length are read whole; those that differ only in the kind or length of white space
+    runs are equal; case counts.
     """
     names = identities(docs.select("doc_id", F.col(text).alias("text")), "text", block_bytes)
     rows = docs.select("doc_id", F.sha2(normalised(F.col(text)), 256).alias("sha")).groupBy("doc_id", "sha").agg(F.count("*").alias("times"))

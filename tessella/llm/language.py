@@ -3,7 +3,8 @@
 Features are the TF-IDF of hashed character 1-, 2- and 3-grams of the lower-cased letters. Document frequencies come
 from all documents that may be learned from; the regression is fitted with follow-the-regularised-leader (proximal, per
 coordinate, with L1 and L2 penalties) on a bounded sample (SAMPLE documents in all, evenly over the languages, chosen by
-the hash of the id), and its temperature is set on a part of the sample that the fit hasn't seen.
+the hash of the id; fewer if their n-grams are more than SAMPLE_GRAMS), and its temperature is set on a part of the
+sample that the fit hasn't seen.
 """
 
 from __future__ import annotations
@@ -15,11 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import strings, table
+from tessella.llm.common import cut, strings, table
 from tessella.llm.toxicity import held_out
 
 HELD_OUT, HELD_REST = 4, 2
 SAMPLE = 4000
+#: Distinct n-grams of all documents of the sample together, at most: 8 bytes each on the driver.
+SAMPLE_GRAMS = 12_000_000
 SIZE = 1 << 16
 EPOCHS, ALPHA, BETA, L1, L2 = 3, 0.5, 1.0, 0.02, 0.001
 CHUNK = 1 << 20
@@ -59,11 +62,15 @@ def gram_counts(text: str) -> np.ndarray | None:
     return counts
 
 
+def weigh_at(at: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Indices and values of the unit-length TF-IDF vector of the n-grams ``at`` with their counts."""
+    values = (1 + np.log(counts)) * idf[at]
+    return at, values / max(1e-12, float(np.sqrt((values * values).sum())))
+
+
 def weigh(counts: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Indices and values of the unit-length TF-IDF vector."""
     at = np.flatnonzero(counts)
-    values = (1 + np.log(counts[at])) * idf[at]
-    return at, values / max(1e-12, float(np.sqrt((values * values).sum())))
+    return weigh_at(at, counts[at], idf)
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,12 +87,12 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for lang, text in zip(batch.column(0).to_pylist(), strings(batch.column(1)), strict=True):
+        for lang, text, place in zip(batch.column(0).to_pylist(), strings(batch.column(1)), batch.column(2).to_pylist(), strict=True):
             counts = gram_counts(text)
             if counts is not None:
                 at = np.flatnonzero(counts)
-                columns = [pa.array([lang]), pa.array([at.astype(np.int32)], pa.list_(pa.int32())), pa.array([counts[at].astype(np.int32)], pa.list_(pa.int32()))]
-                yield pa.RecordBatch.from_arrays(columns, ["lang", "at", "n"])
+                columns = [pa.array([lang]), pa.array([place]), pa.array([at.astype(np.int32)], pa.list_(pa.int32())), pa.array([counts[at].astype(np.int32)], pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays(columns, ["lang", "place", "at", "n"])
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -127,7 +134,7 @@ def _temperature(logits: np.ndarray, labels: np.ndarray) -> float:
     return min((float(t) for t in np.geomspace(0.05, 5, 60)), key=loss)
 
 
-def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> dict:
+def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE, grams: int = SAMPLE_GRAMS) -> dict:
     """The model. Reads text and lang of documents that aren't held out and have a language, nothing else."""
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     known = known.filter("lang is not null").filter(~held_out(F.col("doc_id"), HELD_OUT, HELD_REST))
@@ -143,14 +150,16 @@ def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> dict:
     each = max(1, sample // len(langs))
     share = F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(min(1.0, each / sizes[k])))])[F.col("lang")]
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    chosen = known.filter(place < share).select("lang", "text").mapInArrow(_vectors, "lang string, at array<int>, n array<int>").toArrow()
+    chosen = known.filter(place < share).select("lang", "text", (place / share).alias("place"))
+    chosen = cut(chosen.mapInArrow(_vectors, "lang string, place double, at array<int>, n array<int>"))
+    held = chosen.agg(F.sum(F.size("at"))).first()[0] or 0
+    chosen = chosen.filter(F.col("place") < min(1.0, grams / max(held, 1))).toArrow()
     index = {k: i for i, k in enumerate(langs)}
     data = []
     for batch in chosen.to_batches():
         for i in range(batch.num_rows):
-            counts = np.zeros(SIZE, np.int64)
-            counts[batch.column(1)[i].values.to_numpy()] = batch.column(2)[i].values.to_numpy()
-            data.append((*weigh(counts, idf), index[batch.column(0)[i].as_py()]))
+            at, values = weigh_at(batch.column(2)[i].values.to_numpy(), batch.column(3)[i].values.to_numpy(), idf)
+            data.append((at, values.astype(np.float32), index[batch.column(0)[i].as_py()]))
     data.sort(key=lambda r: (len(r[0]), float(r[1].sum()), r[2]))  # the same order however the rows arrive
     aside = [r for i, r in enumerate(data) if i % 5 == 4]
     w = _ftrl([r for i, r in enumerate(data) if i % 5 != 4], len(langs))
@@ -162,7 +171,8 @@ def identify(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, lang_pred, score.
 
     Texts without a letter (null and empty ones) are ``und`` with score 0, and so is every text under a model that has
-    learned no language. Rows that repeat a doc_id are judged each for itself; a null doc_id stays null and isn't held
+    learned no language. Texts of any length are read whole. Of languages with the same score the first by name is said.
+    Rows that repeat a doc_id are judged each for itself; a null doc_id stays null and isn't held
     out. An empty table gives an empty result; other columns are ignored.
     """
     langs, idf, w, t = model["langs"], model["idf"], model["w"], model["t"]

@@ -67,17 +67,22 @@ def template_lines(docs: DataFrame, text: str = "text", least_docs: int = LEAST_
         F.concat_ws(" ", F.transform(F.sort_array(F.collect_list(F.struct("place", "said"))), lambda x: x["said"])).alias("template"), F.count("constant").alias("constants"), F.count("*").alias("tokens")
     )
     parsed = cut(parsed.filter("2 * constants >= tokens").select("kind", "template", F.xxhash64("template").alias("shape")))
-    told = cut(some.select("doc", "sha", "number", "kind").join(parsed.select("kind", "shape"), "kind").select("doc", "sha", "number", "shape"))
+    # A kind or a shape that a third of all documents have is one key: its side is broadcast within a bound of rows, and
+    # beyond it Spark splits the partitions that the key swells.
+    shapes = bounded_broadcast(parsed.select("kind", "shape"), parsed.count(), BROADCAST_ROWS)
+    told = cut(some.select("doc", "sha", "number", "kind").join(shapes, "kind").select("doc", "sha", "number", "shape"))
     recurring = _shared(told, ["shape"], least_docs).select("shape").join(parsed.groupBy("shape").agg(F.min("template").alias("template")), "shape")
-    return told.join(cut(recurring), "shape").select("doc", "sha", "number", "template").distinct()
+    recurring = cut(recurring)
+    return told.join(bounded_broadcast(recurring, recurring.count(), BROADCAST_ROWS // 8), "shape").select("doc", "sha", "number", "template").distinct()
 
 
 def drop_template_lines(docs: DataFrame, text: str = "text", least_docs: int = LEAST_DOCS) -> DataFrame:
     """One row per row of ``docs``: doc_id, lines, dropped, clean_text (the lines left, as they were).
 
-    Lines are parted by line feeds; empty lines stay. Null counts as empty: one empty line. Rows that repeat a doc_id
-    count as one document; all rows with a null doc_id count as one. An empty table gives an empty result; other columns
-    are ignored.
+    Lines are parted by line feeds; empty lines stay. Null counts as empty: one empty line. Texts and lines of any length
+    are read whole. Rows that repeat a doc_id count as one document; all rows with a null doc_id count as one. An empty
+    table gives an empty result; other columns are ignored. Leaves, kinds of lines and templates are told apart by 64-bit
+    hashes.
     """
     drop = template_lines(docs, text, least_docs).select("doc", "sha", "number").groupBy("doc", "sha").agg(F.collect_set("number").alias("numbers"))
     t = whole(F.col(text))

@@ -20,6 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tessella.llm.common import cut, strings, table, words_of
 from tessella.llm.components import components
@@ -53,13 +54,14 @@ def fingerprint(text: str) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        prints = np.fromiter((fingerprint(t) for t in strings(batch.column(1))), np.uint64, batch.num_rows)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], ["doc_id", "fp"])
+        prints = np.fromiter((fingerprint(t) for t in strings(batch.column(0))), np.uint64, batch.num_rows)
+        yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(prints.view(np.int64))], [*batch.schema.names[1:], "fp"])
 
 
-def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, fp): fp the fingerprint as a signed long. Null and empty texts have 0."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long")
+def fingerprints(docs: DataFrame, text: str = "text", *carried: str) -> DataFrame:
+    """(doc_id, the carried columns, fp): fp the fingerprint as a signed long. Null and empty texts have 0."""
+    rows = docs.select(F.col(text).cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"), *carried)
+    return rows.mapInArrow(_fingerprints, StructType([*rows.schema.fields[1:], StructField("fp", LongType())]))
 
 
 def _syndrome(x: np.ndarray) -> np.ndarray:
@@ -196,13 +198,20 @@ def links_of(nodes: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
     return every.repartition("anchor", "cell").sortWithinPartitions("anchor", "cell").mapInArrow(_compare, "a long, b long")
 
 
+def fingerprint_groups(prints: DataFrame) -> DataFrame:
+    """(fp, group) of the fingerprints that have a link: group is the least fingerprint of the component."""
+    nodes = cut(prints.select("fp").distinct().withColumn("node", F.col("fp")))
+    return components(links_of(nodes)).withColumnsRenamed({"node": "fp", "component": "group"})
+
+
 def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, fingerprint (16 lowercase hex digits), component_id.
 
     component_id is the smallest doc_id reachable over links of 3 or fewer differing bits, the document's own included.
     Null and empty texts have fingerprint zero, which links like any other. Rows that repeat a doc_id come back as often,
     and link as other rows do. A null doc_id is never a component_id; a row with one gets the component of the rows with
-    its fingerprint that have an id, or null if there is none. An empty table gives an empty result.
+    its fingerprint that have an id, or null if there is none. Texts of any length are read whole. An empty table gives an
+    empty result; other columns are ignored.
     """
     prints = cut(fingerprints(docs, text))
     nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("node")).filter("node is not null"))
