@@ -11,7 +11,7 @@ with V the size of the vocabulary and N all words and marks, and a document's sc
 of the loss under the target model less that under the background model; below zero it reads more like the target.
 
 The loss is a sum of a term per word and a term per pair, so that nothing needs the counts of two grams at once. A
-document's distinct grams (64-bit hashes of words and of pairs) are dealt out to shards by their hash, as one row of
+document's distinct grams (hashes of words and of pairs) are dealt out to shards by their hash, as one row of
 bytes per document and shard. A shard holds all places of its grams: it counts them and gives each of its documents its
 part of the sums. What is gathered grows with the corpus; the number of shards grows with the words counted, and a
 shard's size doesn't. Grams so frequent that they would swell one shard (found from the counts of blocks: a gram with a
@@ -26,16 +26,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import bounded_broadcast, cut, mix64, table
+from tessella.llm.blocks import Powers, Words, blocks
+from tessella.llm.common import bounded_broadcast, cut, mix64, table, whole
 
 #: Added to every count of a pair, and the bigram estimate's share of the loss.
 SMOOTH, SHARE = 0.1, 0.5
-#: Words remembered by a task.
-MEMO = 600_000
 BROADCAST_ROWS = 2_000_000
 #: Words of a block that a task counts at once, and of a shard.
 BLOCK, SHARD = 1_000_000, 4_000_000
@@ -45,27 +43,31 @@ MERGED = 2_000_000
 LEAST_SHARDS, LEAST_HEAVY = 16, 4096
 
 
-class Grams(dict):
-    """Hashes of words, kept within a bound, and the grams of a text."""
+def rings(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """The rings of the texts that have words, one after another: a text's mark (0), its words. (symbols, text of each)."""
+    has = np.bincount(words.owner, minlength=len(words.edges) - 1) > 0
+    place = np.arange(len(words.owner)) + np.cumsum(has)[words.owner]
+    symbols, owner = np.zeros(len(place) + int(has.sum()), np.uint64), np.empty(len(place) + int(has.sum()), np.int64)
+    symbols[place], owner[place] = words.hashes, words.owner
+    marks = np.ones(len(symbols), bool)
+    marks[place] = False
+    owner[marks] = np.flatnonzero(has)
+    return symbols, owner
 
-    def __missing__(self, word: bytes) -> int:
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
 
-    def words(self, text: str) -> np.ndarray:
-        """Hashes of the text's ASCII lower-cased words, after a 0 for its ends; nothing if it has no words."""
-        if len(self) > MEMO:
-            self.clear()
-        found = text.encode("utf-8", "replace").lower().split()
-        x = np.zeros(len(found) + bool(found), np.uint64)
-        x[1:] = np.fromiter(map(self.__getitem__, found), np.uint64, len(found))
-        return x
+def grams(symbols: np.ndarray) -> np.ndarray:
+    """48-bit keys of the words (even) and pairs (odd) of whole rings. What follows a text's last word is its mark, and all
+    marks are 0."""
+    word = mix64(symbols + np.uint64(0x9E3779B97F4A7C15))
+    pair = mix64(word ^ np.roll(symbols, -1))
+    return np.concatenate([word >> np.uint64(17) << np.uint64(1), pair >> np.uint64(17) << np.uint64(1) | np.uint64(1)])
 
 
-def grams(x: np.ndarray) -> np.ndarray:
-    """The words (even) and pairs (odd) of a text's ring."""
-    word = mix64(x + np.uint64(0x9E3779B97F4A7C15))
-    return np.concatenate([word & ~np.uint64(1), mix64(word ^ np.roll(x, -1)) | np.uint64(1)])
+def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, and how often each is there."""
+    keys = np.sort(keys)
+    at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[at], np.diff(np.append(at, len(keys)))
 
 
 def _summed(keys: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -81,7 +83,7 @@ def _survey(heavy: int):
     0), those of the target (key 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Grams()
+        powers = Powers()
         held, size, target = [], 0, 0
         merged = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
@@ -90,28 +92,28 @@ def _survey(heavy: int):
 
         def block() -> Iterator[pa.RecordBatch]:
             nonlocal merged
-            words = np.concatenate(held)
-            merged = _summed(np.concatenate([merged[0], words]), np.concatenate([merged[1], np.ones(len(words), np.int64)]))
-            keys = np.concatenate([grams(x) for x in held])
-            keys, n = _summed(keys, np.ones(len(keys), np.int64))
-            often = n * heavy >= len(words)
+            symbols = np.concatenate(held)
+            keys, n = _counted(grams(symbols))
+            often = n * heavy >= len(symbols)
             yield rows(1, keys[often], n[often])
-            yield rows(2, np.arange(2, dtype=np.uint64), np.array([len(words), target]))
+            yield rows(2, np.arange(2, dtype=np.uint64), np.array([len(symbols), target]))
+            own = keys & np.uint64(1) == 0  # the words
+            merged = _summed(np.concatenate([merged[0], keys[own]]), np.concatenate([merged[1], n[own]]))
             if len(merged[0]) > MERGED:
                 yield rows(0, *merged)
                 merged = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
         for batch in batches:
-            for wanted, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                x = memo.words(value.as_py() or "")
-                if len(x):
-                    held.append(x)
-                    size += len(x)
-                    target += len(x) * bool(wanted)
-                    if size > BLOCK:
-                        yield from block()
-                        held, size, target = [], 0, 0
-        if held:
+            wanted = batch.column(0).to_numpy(zero_copy_only=False)
+            for low, x, edges in blocks(batch.column(1)):
+                symbols, owner = rings(Words(x, edges, powers))
+                held.append(symbols)
+                size += len(symbols)
+                target += int(wanted[low + owner].sum())
+                if size > BLOCK:
+                    yield from block()
+                    held, size, target = [], 0, 0
+        if size:
             yield from block()
         yield rows(0, *merged)
 
@@ -122,15 +124,18 @@ def _frequent(sent):
     """(key, n, t) of the grams in the broadcast array, counted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, keys = Grams(), sent.value
+        powers, keys = Powers(), sent.value
         n, t = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
         for batch in batches:
-            for target, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                x = grams(memo.words(value.as_py() or ""))
-                at = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
-                mine = np.bincount(at[keys[at] == x], minlength=len(keys))
-                n += mine
-                t += mine * bool(target)
+            wanted = batch.column(0).to_numpy(zero_copy_only=False)
+            for low, x, edges in blocks(batch.column(1)):
+                symbols, owner = rings(Words(x, edges, powers))
+                found = grams(symbols)
+                at = np.minimum(np.searchsorted(keys, found), len(keys) - 1)
+                mine = keys[at] == found
+                n += np.bincount(at[mine], minlength=len(keys))
+                mine &= np.tile(wanted[low + owner], 2)
+                t += np.bincount(at[mine], minlength=len(keys))
         yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n), pa.array(t)], ["key", "n", "t"])
 
     return run
@@ -146,83 +151,97 @@ PARTS = "row long, doc_id long, tokens long, target boolean, target_loss double,
 
 
 def _deal(sent, shards: int, vocabulary: int):
-    """A row per document and shard: the document's grams there (8 bytes each) and how often each occurs (1 byte; repeated
+    """A row per document and shard: the document's grams there (6 bytes each) and how often each occurs (1 byte; repeated
     beyond 255). The first also has the document's words and the sums of its frequent grams."""
     names = [x.split()[0] for x in PARTS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Grams()
+        powers = Powers()
         heavy, n, t = sent.value
         terms = [_terms(heavy, x, vocabulary) for x in (t, n)]
+        once: list[pa.RecordBatch] = []  # what a document has once: its columns, its words, its sums
         held: list[tuple] = []
-        size = 0
+        docs = size = 0
 
         def ready() -> pa.RecordBatch:
-            doc = np.repeat(np.arange(len(held)), [len(x[6]) for x in held])
-            keys, times = (np.concatenate([x[k] for x in held]) for k in (6, 7))
-            doc, keys, times = (np.repeat(x, (times + 254) // 255) for x in (doc, keys, times))
-            same = np.concatenate([[False], (keys[1:] == keys[:-1]) & (doc[1:] == doc[:-1])]) if len(keys) else np.zeros(0, bool)
-            first = np.flatnonzero(~same)
-            turn = np.arange(len(keys)) - np.repeat(first, np.diff(np.append(first, len(keys))))
+            doc, keys, times = (np.concatenate([x[k] for x in held]) for k in range(3))
+            own = pa.Table.from_batches(once).combine_chunks()
+            # a count beyond 255 is several entries
+            parts = (times + 254) // 255
+            turn = np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts)
+            doc, keys, times = (np.repeat(x, parts) for x in (doc, keys, times))
             times = np.minimum(times - 255 * turn, 255)
-            # a row of its own for what a document has once
-            shard = np.concatenate([(keys >> np.uint64(1)) % np.uint64(shards), np.full(len(held), shards, np.uint64)]).astype(np.int64)
-            shard[len(keys):] = [x[0] % shards for x in held]
-            doc = np.concatenate([doc, np.arange(len(held))])
-            once = np.concatenate([np.zeros(len(keys), bool), np.ones(len(held), bool)])
-            order = np.lexsort((~once, shard, doc))
-            doc, shard, once = doc[order], shard[order], once[order]
+            # entries by document and shard, and before them one without a gram for what the document has once
+            rows = own.column("row").to_numpy()
+            shard = np.concatenate([((keys >> np.uint64(1)) % np.uint64(shards)).astype(np.int64), rows % shards])
+            doc = np.concatenate([doc, np.arange(len(rows))])
+            alone = np.arange(len(doc)) >= len(keys)
+            order = np.argsort(doc << 43 | shard << 1 | ~alone)  # under 2 ** 20 documents here, and shards of corpora to come
+            doc, shard, alone = doc[order], shard[order], alone[order]
             at = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (shard[1:] != shard[:-1])]))
-            entry = order[~once]
-            ends = np.concatenate([[0], np.cumsum(~once)])[np.append(at, len(doc))]
-            has = once[at]
-            columns = [[x[k] for x in held] for k in range(6)]
-            take = doc[at]
-            arrays = [pa.array(columns[0], pa.int64()).take(pa.array(take)), pa.array(columns[1], pa.int64()).take(pa.array(take))]
-            arrays.append(pa.array(np.where(has, np.array(columns[2], np.int64)[take], 0)))
-            arrays.append(pa.array(np.array(columns[3], bool)[take]))
-            arrays += [pa.array(np.where(has, np.array(columns[k])[take], 0.0)) for k in (4, 5)]
-            arrays.append(pa.array(shard[at].astype(np.int32)))
-            for x, width in ((keys[entry], 8), (times[entry].astype(np.uint8), 1)):
-                arrays.append(pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer((ends * width).astype(np.int32).tobytes()), pa.py_buffer(x.tobytes())]))
-            return pa.RecordBatch.from_arrays(arrays, names)
+            ends = np.concatenate([[0], np.cumsum(~alone)])[np.append(at, len(doc))]
+            entry, take, first = order[~alone], doc[at], alone[at]
+            arrays = [own.column(k).combine_chunks().take(pa.array(take)) for k in ("row", "doc_id", "target")]
+            sums = [pa.array(np.where(first, own.column(k).to_numpy()[take], 0)) for k in ("tokens", "target_loss", "background_loss")]
+            values = (keys[entry].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6], times[entry].astype(np.uint8).reshape(-1, 1))
+            blobs = [pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer((ends * x.shape[1]).astype(np.int32).tobytes()), pa.py_buffer(x.tobytes())]) for x in values]
+            return pa.RecordBatch.from_arrays([arrays[0], arrays[1], sums[0], arrays[2], sums[1], sums[2], pa.array(shard[at].astype(np.int32)), *blobs], names)
 
         for batch in batches:
-            for row, doc, target, value in zip(*(batch.column(c).to_pylist() for c in range(3)), batch.column(3), strict=True):
-                x = memo.words(value.as_py() or "")
-                all_ = grams(x)
-                keys, times = _summed(all_, np.ones(len(all_), np.int64))
-                sums = [0.0, 0.0]
+            for low, x, edges in blocks(batch.column(3)):
+                words = Words(x, edges, powers)
+                many = len(edges) - 1
+                symbols, owner = rings(words)
+                # a text's number fits above its grams' 48 bits
+                both, times = _counted(np.tile(owner.astype(np.uint64) << np.uint64(48), 2) | grams(symbols))
+                doc, keys = (both >> np.uint64(48)).astype(np.int64), both & np.uint64(2**48 - 1)
+                sums = [np.zeros(many)] * 2
                 if len(heavy):
                     at = np.minimum(np.searchsorted(heavy, keys), len(heavy) - 1)
                     often = heavy[at] == keys
-                    sums = [float((term[at[often]] * times[often]).sum()) for term in terms]
-                    keys, times = keys[~often], times[~often]
-                held.append((row, doc, max(0, len(x) - 1), target, *sums, keys, times))
-                size += len(keys) + 1
+                    sums = [np.bincount(doc[often], weights=term[at[often]] * times[often], minlength=many).astype(float) for term in terms]
+                    keys, doc, times = keys[~often], doc[~often], times[~often]
+                own = batch.slice(low, many)
+                columns = [own.column(0), own.column(1), own.column(2), pa.array(np.bincount(words.owner, minlength=many)), *map(pa.array, sums)]
+                once.append(pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "target", "tokens", "target_loss", "background_loss"]))
+                held.append((docs + doc, keys, times))
+                docs += many
+                size += len(keys) + many
                 if size > 400_000:
                     yield ready()
-                    held, size = [], 0
-        if held:
+                    once, held, docs, size = [], [], 0, 0
+        if docs:
             yield ready()
 
     return run
 
 
+def _bytes(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of a binary column, and the size of each value."""
+    found, sizes = [np.zeros(0, np.uint8)], [np.zeros(0, np.int64)]
+    for chunk in column.chunks:
+        edges = np.frombuffer(chunk.buffers()[1], np.int64 if pa.types.is_large_binary(chunk.type) else np.int32)[chunk.offset : chunk.offset + len(chunk) + 1].astype(np.int64)
+        found.append(np.frombuffer(chunk.buffers()[2] or b"", np.uint8)[edges[0] : edges[-1]])
+        sizes.append(np.diff(edges))
+    return np.concatenate(found), np.concatenate(sizes)
+
+
 def _shard(vocabulary: int):
     """(row, doc_id, tokens, target_loss, background_loss): each document's part from one shard."""
 
     def run(part: pa.Table) -> pa.Table:
-        part = part.combine_chunks()
-        keys, times = (np.concatenate([np.frombuffer(b"".join(c.to_pylist()), kind) for c in part.column(name).chunks] or [np.zeros(0, kind)]) for name, kind in (("grams", "<u8"), ("times", np.uint8)))
-        sizes = np.array([len(x) for c in part.column("times").chunks for x in c.to_pylist()], np.int64)
+        keys, _ = _bytes(part.column("grams"))
+        wide = np.zeros((len(keys) // 6, 8), np.uint8)
+        wide[:, :6] = keys.reshape(-1, 6)
+        keys = wide.reshape(-1).view("<u8")
+        times, sizes = _bytes(part.column("times"))
         doc = np.repeat(np.arange(part.num_rows), sizes)
         target = part.column("target").to_numpy()
         distinct, place = np.unique(keys, return_inverse=True)
         out = [part.column(k).to_numpy(zero_copy_only=False) if k != "doc_id" else part.column(k) for k in ("row", "doc_id", "tokens")]
         for name, counted in (("target_loss", times * target[doc]), ("background_loss", times)):
             term = _terms(distinct, np.bincount(place, weights=counted, minlength=len(distinct)), vocabulary)
-            out.append(part.column(name).to_numpy() + np.bincount(doc, weights=term[place] * times, minlength=part.num_rows))
+            out.append(part.column(name).to_numpy() + np.bincount(doc, weights=term[place] * times, minlength=part.num_rows).astype(float))
         return pa.Table.from_arrays([x if isinstance(x, pa.ChunkedArray) else pa.array(x) for x in out], ["row", "doc_id", "tokens", "target_loss", "background_loss"])
 
     return run
@@ -235,11 +254,12 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, text: str =
     between ASCII white space. Null and empty texts have no words and 0 everywhere; texts of any length are read whole.
     Without target documents the target model is uniform. Rows that repeat a doc_id are scored and counted each for
     itself; a null doc_id stays null and is no target. An empty table gives an empty result; other columns are ignored.
-    Documents are counted in the models that score them. Grams are told apart by 63-bit hashes.
+    Documents are counted in the models that score them. Grams are told apart by 47-bit hashes: of a billion, one in
+    100,000 shares its count with another, at every size of a text.
     """
     spark = docs.sparkSession
     ids = target_ids.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("_target")).distinct()
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), whole(F.col(text)).alias("text"))
     heavy = heavy or max(LEAST_HEAVY, 16 * rows.rdd.getNumPartitions())
     rows = rows.join(bounded_broadcast(ids, ids.count(), BROADCAST_ROWS), F.col("doc_id") == F.col("_target"), "left")
     rows = rows.select("row", "doc_id", F.col("_target").isNotNull().alias("target"), "text")

@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessella.llm.blocks import STEP, Powers, Words, blocks, sums_of
 from tessella.llm.common import bounded_broadcast, cut, mix64, release, table
 from tessella.llm.components import components
 
@@ -42,36 +43,12 @@ UNIT_WORDS, UNIT_PLACES = 20, 31
 NEAR_WORDS = 2
 #: Members of one block of a bucket.
 BUCKET_ROWS = 250
-#: Rows that may be broadcast; beyond that the join is shuffled.
-BROADCAST_ROWS = 400_000
-#: Keys wanted from texts that may be broadcast with their texts' ids.
-WANTED_KEYS = 1_500_000
-#: Bytes of text that are read at once; a longer text is a block of its own.
-BLOCK_BYTES = 1 << 20
-_STEP = np.uint64(0x9E3779B97F4A7C15)
-SEEDS = mix64(np.arange(1, LINE_BANDS * ROWS + 1, dtype=np.uint64) * _STEP)
+#: Rows that may be broadcast; beyond that the join is shuffled. So low that a tenth of a GB shuffles as a TB does.
+BROADCAST_ROWS = 100_000
+SEEDS = mix64(np.arange(1, LINE_BANDS * ROWS + 1, dtype=np.uint64) * STEP)
 _END = np.uint64(2**64 - 1)
 
 
-class Powers:
-    """Powers of an odd number and of its inverse, modulo 2 ** 64, as far as a block needs them; a hash for each byte."""
-
-    def __init__(self) -> None:
-        self.up = self.down = np.ones(1, np.uint64)
-        low = np.arange(256)
-        low[65:91] += 32  # ASCII lower case
-        self.bytes = mix64((low + 1).astype(np.uint64) * _STEP)
-        self.blank = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
-
-    def reach(self, n: int) -> None:
-        if len(self.up) <= n:
-            size = n + n // 4 + 1024
-            both = [np.full(size, x, np.uint64) for x in (int(_STEP), pow(int(_STEP), -1, 1 << 64))]
-            for x in both:
-                x[0] = 1
-            self.up, self.down = (np.cumprod(x) for x in both)
-
-
 def _spread_out(at: np.ndarray) -> np.ndarray:
     """Marks places more than NEAR_WORDS after the last that is marked."""
     marked = np.ones(len(at), bool)
@@ -89,21 +66,9 @@ class Block:
     """
 
     def __init__(self, x: np.ndarray, edges: np.ndarray, powers: Powers, least_words: int = LEAST_WORDS) -> None:
-        self.x, self.edges = x, edges
-        powers.reach(len(x) + 1)
-        blank = powers.blank[x]
-        before, after = np.ones(len(x), bool), np.ones(len(x), bool)
-        before[1:], after[:-1] = blank[:-1], blank[1:]
-        inner = edges[(edges > 0) & (edges < len(x))]
-        before[inner] = after[inner - 1] = True
-        self.begin, self.end = np.flatnonzero(~blank & before), np.flatnonzero(~blank & after) + 1
-        # the hash of a stretch is a difference of prefix sums, moved back to power 0: of bytes for words, of words then
-        sums = np.zeros(len(x) + 1, np.uint64)
-        np.cumsum(powers.bytes[x] * powers.up[: len(x)], out=sums[1:])
-        h = mix64((sums[self.end] - sums[self.begin]) * powers.down[self.begin])
-        sums = np.zeros(len(h) + 1, np.uint64)
-        np.cumsum(h * powers.up[: len(h)], out=sums[1:])
-        owner = np.searchsorted(edges, self.begin, "right") - 1
+        words = Words(x, edges, powers)
+        self.x, self.edges, self.begin, self.end, h, owner = x, edges, words.begin, words.end, words.hashes, words.owner
+        sums = sums_of(h, powers)
         self.breaks = np.flatnonzero(x == 10)
         line = np.searchsorted(self.breaks, self.begin)
         turn = np.flatnonzero(np.concatenate([[True], (line[1:] != line[:-1]) | (owner[1:] != owner[:-1])])) if len(h) else np.zeros(0, np.int64)
@@ -113,7 +78,7 @@ class Block:
         keys = mix64((sums[last] - sums[first]) * powers.down[first])
         at, places = np.zeros(0, np.int64), len(h) - UNIT_WORDS + 1
         if places >= UNIT_PLACES:
-            each = mix64((sums[UNIT_WORDS:] - sums[:-UNIT_WORDS]) * powers.down[:places] + _STEP)
+            each = mix64((sums[UNIT_WORDS:] - sums[:-UNIT_WORDS]) * powers.down[:places] + STEP)
             least = np.lib.stride_tricks.sliding_window_view(each, UNIT_PLACES).argmin(axis=1) + np.arange(places - UNIT_PLACES + 1)
             at = np.unique(least[owner[: len(least)] == owner[UNIT_WORDS + UNIT_PLACES - 2 :]])  # windows within one text
             keys = np.concatenate([keys, each[at]])
@@ -140,12 +105,12 @@ class Block:
                 own, at, kinds = own[~kinds], at.reshape(-1, 2)[~kinds].reshape(-1), kinds[~kinds]
             if not len(own):
                 break
-            key = (kinds.astype(np.uint64) * np.uint64(LINE_BANDS) + np.uint64(band + 1)) * _STEP
+            key = (kinds.astype(np.uint64) * np.uint64(LINE_BANDS) + np.uint64(band + 1)) * STEP
             for row in range(ROWS):
                 y = (x ^ SEEDS[band * ROWS + row]) * np.uint64(0xFF51AFD7ED558CCD)
                 y ^= y >> np.uint64(32)
                 y[-1] = _END
-                key = mix64(key * _STEP ^ np.minimum.reduceat(y, at)[::2])
+                key = mix64(key * STEP ^ np.minimum.reduceat(y, at)[::2])
             found.append((key, self.keys[own]))
         return tuple(np.concatenate(part) for part in zip(*found, strict=True)) if found else (np.zeros(0, np.uint64),) * 2
 
@@ -163,15 +128,10 @@ class Block:
         return para, low - start, high - low
 
 
-def blocks(column: pa.Array, powers: Powers, least_words: int) -> Iterator[tuple[int, Block]]:
+def paragraphs(column: pa.Array, powers: Powers, least_words: int) -> Iterator[tuple[int, Block]]:
     """The texts of an Arrow string column block by block, with the number of each block's first text."""
-    edges = np.frombuffer(column.buffers()[1], np.int64 if pa.types.is_large_string(column.type) else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
-    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
-    low = 0
-    while low < len(column):
-        high = max(low + 1, int(np.searchsorted(edges, edges[low] + BLOCK_BYTES, "right")) - 1)
-        yield low, Block(data[edges[low] : edges[high]], edges[low : high + 1] - edges[low], powers, least_words)
-        low = high
+    for low, x, edges in blocks(column):
+        yield low, Block(x, edges, powers, least_words)
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -182,7 +142,7 @@ def _buckets(least_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
         for batch in batches:
-            for _, block in blocks(batch.column(0), powers, least_words):
+            for _, block in paragraphs(batch.column(0), powers, least_words):
                 buckets, keys = block.bands()
                 yield pa.RecordBatch.from_arrays([_signed(buckets), _signed(keys)], ["bucket", "key"])
 
@@ -198,7 +158,7 @@ def _firsts(least_words: int):
             none = batch.column(0).is_null().to_numpy(zero_copy_only=False)
             doc_id = batch.column(0).fill_null(0).to_numpy()
             tid = batch.column(1).to_numpy()
-            for low, block in blocks(batch.column(2), powers, least_words):
+            for low, block in paragraphs(batch.column(2), powers, least_words):
                 doc, start = low + block.doc, block.places()[1]
                 order = np.lexsort((start, tid[doc], doc_id[doc], none[doc], block.keys))
                 keys = block.keys[order]
@@ -216,7 +176,7 @@ def _pieces(least_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
         for batch in batches:
-            for low, block in blocks(batch.column(2), powers, least_words):
+            for low, block in paragraphs(batch.column(2), powers, least_words):
                 own = pa.array(low + block.doc)
                 columns = [batch.column(0).take(own), batch.column(1).take(own), pa.array(block.passage), *map(pa.array, block.places()), _signed(block.keys)]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "tid", "passage", "para", "start", "length", "key"])
@@ -231,7 +191,7 @@ def _shingles(least_words: int):
         powers = Powers()
         for batch in batches:
             wanted = batch.column(0)
-            for low, block in blocks(batch.column(1), powers, least_words):
+            for low, block in paragraphs(batch.column(1), powers, least_words):
                 own = np.unique(wanted.slice(low, len(block.edges) - 1).flatten().to_numpy()).view(np.uint64)
                 keys, at = np.unique(block.keys, return_index=True)
                 at = at[np.isin(keys, own)]
@@ -326,24 +286,24 @@ def similar_paragraphs(
     one kept unless all are. An empty table gives an empty result; other columns are ignored. Words, classes and shingles
     are told apart by 64-bit hashes.
     """
-    t = F.col(text).cast("string")
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(t).alias("tid"), F.coalesce(t, F.lit("")).alias("text"))
+    t = F.col(text).cast("string")  # tid tells rows of one doc_id apart
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash(t).alias("tid"), F.coalesce(t, F.lit("")).alias("text"))
     bands = own.select("text").mapInArrow(_buckets(least_words), "bucket long, key long").repartition("bucket")
     same = Window.partitionBy("bucket")
     mixed = bands.withColumn("low", F.min("key").over(same)).withColumn("high", F.max("key").over(same)).filter("low <> high")
     members = cut(mixed.select("bucket", "key").distinct())
     del bands, mixed
     release(docs.sparkSession)
-    firsts = own.mapInArrow(_firsts(least_words), "key long, copies long, none boolean, doc_id long, tid long, start long")
+    firsts = own.mapInArrow(_firsts(least_words), "key long, copies long, none boolean, doc_id long, tid int, start long")
     firsts = firsts.select("key", "copies", F.struct("none", "doc_id", "tid", "start").alias("first"), F.lit(0).alias("met"))
-    met = members.select("key").distinct().select("key", F.lit(0).cast("long").alias("copies"), F.lit(None).cast("struct<none:boolean,doc_id:bigint,tid:bigint,start:bigint>").alias("first"), F.lit(1).alias("met"))
+    met = members.select("key").distinct().select("key", F.lit(0).cast("long").alias("copies"), F.lit(None).cast("struct<none:boolean,doc_id:bigint,tid:int,start:bigint>").alias("first"), F.lit(1).alias("met"))
     classes = firsts.unionAll(met).groupBy("key").agg(F.sum("copies").alias("copies"), F.min("first").alias("first"), F.max("met").alias("met"))
     classes = cut(classes.filter("copies > 1 or met = 1"))
     del firsts, met
     release(docs.sparkSession)
     # The shingles of classes that met are made again from the text of each one's first place.
     wanted = classes.filter("met = 1").groupBy(F.col("first.tid").alias("tid"), F.col("first.doc_id").alias("only")).agg(F.collect_list("key").alias("wanted"))
-    wanted = bounded_broadcast(cut(wanted), classes.filter("met = 1").count(), WANTED_KEYS)
+    wanted = bounded_broadcast(cut(wanted), classes.filter("met = 1").count(), broadcast_rows)
     texts = own.join(wanted, (own["tid"] == wanted["tid"]) & own["doc_id"].eqNullSafe(wanted["only"])).select("wanted", "text")
     shingles = texts.mapInArrow(_shingles(least_words), "key long, shingles array<long>")
     found = cut(components(_links(members, shingles, similarity, bucket_rows, broadcast_rows)).withColumnRenamed("node", "key"))
@@ -352,7 +312,7 @@ def similar_paragraphs(
     heads = cut(clusters.groupBy("cluster_id").agg(F.min("first").alias("head")).select("cluster_id", F.col("head.doc_id").alias("head_id"), F.col("head.tid").alias("head_tid"), F.col("head.start").alias("head_start")))
     clusters = cut(clusters.drop("first").join(bounded_broadcast(heads, heads.count(), broadcast_rows), "cluster_id"))
     release(docs.sparkSession)
-    pieces = own.mapInArrow(_pieces(least_words), "doc_id long, tid long, passage boolean, para long, start long, length long, key long")
+    pieces = own.mapInArrow(_pieces(least_words), "doc_id long, tid int, passage boolean, para long, start long, length long, key long")
     out = pieces.join(bounded_broadcast(clusters, clusters.count(), broadcast_rows), "key")
     kept = F.col("doc_id").eqNullSafe(F.col("head_id")) & (F.col("tid") == F.col("head_tid")) & (F.col("start") == F.col("head_start"))
     return out.select("doc_id", F.when(F.col("passage"), "passage").otherwise("line").alias("unit"), "para", "start", "length", F.col("key").alias("class_id"), "cluster_id", "copies", "links", kept.alias("kept"))

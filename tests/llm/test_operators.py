@@ -1,6 +1,7 @@
 """Each operator against brute force, planted cases and the odd rows that any table may have."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -11,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tessella.llm import components, decontaminate, exact_dedup, language, lm_scoring, log_templates, packing, paragraphs, secrets, simhash, toxicity
+from tessella.llm import blocks, components, decontaminate, exact_dedup, language, lm_scoring, log_templates, packing, paragraphs, secrets, simhash, toxicity
 from tessella.llm.queries import SQL, QUERIES
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -179,11 +180,11 @@ def test_bands_find_what_is_similar():
 def test_blocks_read_texts_as_they_are_one_by_one(monkeypatch, block_bytes):
     import pyarrow as pa
 
-    monkeypatch.setattr(paragraphs, "BLOCK_BYTES", block_bytes)
+    monkeypatch.setattr(paragraphs, "blocks", lambda c: blocks.blocks(c, block_bytes))
     texts = [prose(i, 10 * i) + ("\n" if i % 3 else " é\n\n") + prose(i + 1, 30) for i in range(12)] + ["", "\n\n", " ", None, "A " * 60, "ÄÖ\u3000x " * 25 + "\n", prose(3, 25)]
     powers, seen = paragraphs.Powers(), []
     column = pa.array(["skipped", *texts])[1:]
-    for low, block in paragraphs.blocks(column, powers, 20):
+    for low, block in paragraphs.paragraphs(column, powers, 20):
         for doc, key, first, last, passage, place in zip(block.doc, block.keys, block.first, block.last, block.passage, zip(*block.places()), strict=True):
             seen.append((low + doc, int(key), bool(passage), int(last - first), *map(int, place)))
     want = []
@@ -247,6 +248,77 @@ def test_toxicity_never_reads_held_out_labels(spark):
     assert models[0]["features"] == models[1]["features"] and models[0]["weights"] == models[1]["weights"]
 
 
+def brute_costs(texts):
+    """The character model of ``texts``, counted one by one."""
+    letters = toxicity._letters()
+    size = int(letters[toxicity.LAST]) + 1
+    tri = defaultdict(int)
+    for text in texts:
+        x = [0, 0, *(int(letters[min(ord(c), toxicity.LAST)]) for c in text), 0]
+        for a, b, c in zip(x, x[1:], x[2:]):
+            if b or c:
+                tri[a if b else 0, b, c] += 1
+    bi, left, ab, uni = (defaultdict(float) for _ in range(4))
+    for (a, b, c), n in tri.items():
+        bi[b, c] += n
+        left[b] += n
+        ab[a, b] += n
+        uni[c] += n
+    total = sum(tri.values())
+    pair = {g: 0.2 * n / left[g[0]] + 0.05 * uni[g[1]] / total for g, n in bi.items()}
+    costs = {-1: 14.0} | {-2 - (b * size + c): -np.log(v) for (b, c), v in pair.items()}
+    return costs | {(a * size + b) * size + c: -np.log(0.75 * n / ab[a, b] + pair[b, c]) for (a, b, c), n in tri.items()}
+
+
+@pytest.mark.parametrize("dense", [128, 20])
+def test_character_costs_as_by_brute_force(spark, monkeypatch, dense):
+    monkeypatch.setattr(toxicity, "DENSE", dense)
+    texts = [prose(1, 40), "Öl und Äpfel\nund ĿÆ", "дурак и Я", "ΣΟΦΟΣ", "日本語 x", "a\u2019b"]
+    got, want = toxicity.character_model(docs(spark, list(enumerate(texts)))), brute_costs([" ".join(texts)])
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_the_cheapest_reading_is_that_of_brute_force():
+    decoder = toxicity.Decoder(brute_costs([" ".join(prose(i, 60) for i in range(20)) + " dimwit garbage shit ass"]))
+    for raw in ("d1mw1t", "g@rb", "s.c.u", "5#!7", "4$$", "niit", "a*b", "x-1", "a b c", "€é", "дд1", "!!!", "0llo"):
+        units = [(m[0][0], len(m[0])) for m in re.finditer(r"(.)\1*", raw, re.DOTALL)]
+        best = None
+        options = [[("", 0.0)]] + [decoder.options(c, n) for c, n in units]
+        said = [("", 0.0, 0, 0)]
+        for some in options[1:]:
+            said = [(t + r, c + price + step[0], step[1], step[2]) for t, c, x, y in said for r, price in some for step in [decoder.step(x, y, r)]]
+        best = min(c + decoder.step(x, y, " ")[0] for _, c, x, y in said)
+        assert abs(decoder.cheapest(raw)[0] - best) < 1e-9, raw
+
+
+def test_a_word_is_found_at_every_place_of_a_long_run_of_spaced_letters(spark, toxic):
+    _, model = toxic
+    decoder = toxicity.Decoder(model["characters"])
+    filler = "".join(prose(33, 400).split())[:1000]
+    for at in range(0, 1001, 7):
+        run = filler[:at] + "garbage" + filler[at:]
+        found = toxicity._spaced(" ".join(run), decoder)
+        assert any(w.startswith("garbage") or "garbage" in w for w in found), at
+
+
+def test_toxicity_of_another_script_and_of_signs_alone(spark):
+    r = random.Random(22)
+    plain, bad = "рыба дом окно река поле мост лето снег ветер камень".split(), ["дурак", "мерзавец", "asshat"]
+    rows, labels = [], []
+    for i in range(300):
+        words = [r.choice(plain) for _ in range(40)]
+        if i % 3 == 0:
+            words[5:5] = r.sample(bad, 2)
+        rows.append((i, " ".join(words)))
+        labels.append((i, 0, int(i % 3 == 0)))
+    model = toxicity.fit(docs(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    hidden = ["д у р а к", "дуурааак", "д.у.р.а.к", "ДУРАК", "4$$#@+"]
+    some = [(i, f"{' '.join(r.choice(plain) for _ in range(20))} {w} {' '.join(r.choice(plain) for _ in range(20))} {w}") for i, w in enumerate(hidden)]
+    some += [(100 + i, " ".join(r.choice(plain) for _ in range(40)) + f" {i} 2024 455") for i in range(20)]
+    got = {x.doc_id: x.predicted for x in toxicity.toxicity(docs(spark, some), model).collect()}
+    assert [got[i] for i in range(len(hidden))] == [1] * len(hidden) and not any(got[100 + i] for i in range(20))
+
+
 # 3
 
 
@@ -506,6 +578,62 @@ def test_secrets_of_each_encoding_and_length(spark):
     assert all(sum(x) >= 9 for x in share.values()), [(k, sum(x)) for k, x in share.items() if sum(x) < 9]
 
 
+def brute_battery(token):
+    """n, coincidence, p_random of one token, by the formulas."""
+    bare = re.sub("[^A-Za-z0-9]", "", token)
+    digits, low = "0123456789", "abcdefghijklmnopqrstuvwxyz"
+    if re.fullmatch("[0-9a-f]+|[0-9A-F]+", bare):
+        alphabet = digits + "abcdef"
+    elif re.fullmatch("[A-Z2-7]+|[a-z2-7]+", bare) and re.search("[2-7]", bare):
+        alphabet = low + "234567"
+    elif re.fullmatch("[a-z]+|[A-Z]+|[A-Z][a-z]+", bare):
+        alphabet = low
+    elif re.fullmatch("[a-z0-9]+|[A-Z0-9]+", bare):
+        alphabet = digits + low
+    else:
+        alphabet = digits + low.upper() + low
+    folded = bare if len(alphabet) == 62 else bare.lower()
+    v, k, n = [alphabet.index(c) for c in folded], len(alphabet), len(folded)
+    count = lambda t: [t.count(c) for c in set(t)]
+    chi, df = k / n * sum(x * x for x in count(folded)) - n, k - 1
+    z_chi = ((max(chi, 0) / df) ** (1 / 3) - (1 - 2 / (9 * df))) / (2 / (9 * df)) ** 0.5
+    half = [x * 2 < k for x in v]
+    runs, n1 = 1 + sum(a != b for a, b in zip(half, half[1:])), sum(half)
+    expected = 1 + 2 * n1 * (n - n1) / n
+    variance = (expected - 1) * (expected - 2) / (n - 1)
+    z_runs = (runs - expected) / variance**0.5 if variance > 0 else 9.0
+    mean = sum(v) / n
+    spread = sum((x - mean) ** 2 for x in v)
+    z_serial = sum((a - mean) * (b - mean) for a, b in zip(v, v[1:])) / spread * n**0.5 if spread else 9.0
+    tail = lambda z: 0.5 * math.erfc(z / 2**0.5)
+    p = 3 * min(tail(z_chi), 2 * tail(abs(z_runs)), 2 * tail(abs(z_serial)))
+    return n, (sum(x * x for x in count(bare.lower())) - n) / (n * (n - 1)), p
+
+
+def test_the_battery_and_its_false_discoveries_as_by_brute_force(spark):
+    r = random.Random(80)
+    sets = ["0123456789abcdef", "abcdefghijklmnopqrstuvwxyz234567", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"]
+    tokens = sorted({"".join(r.choice(x) for _ in range(n)) for x in sets for n in (20, 33, 64, 100) for _ in range(6)} | {"".join(prose(i, 2 + i % 9).split()) for i in range(80)} | {"a" * 30, "ab" * 20, "0123456789abcdef" * 2})
+    tokens = [t for t in tokens if len(t) >= 20 and len(re.sub("[^A-Za-z0-9]", "", t)) >= 16]
+    got = {x.token: x for x in secrets._battery(spark.createDataFrame([(t,) for t in tokens], "token string")).collect()}
+    want = {t: brute_battery(t) for t in tokens}
+    assert set(got) == set(want)
+    for t, (n, coincidence, p) in want.items():
+        assert got[t].n == n and abs(got[t].coincidence - coincidence) < 1e-9 and (abs(got[t].p_random - p) < 1e-4 or abs(got[t].p_random - p) < 0.02 * p), t
+    # the rule of Benjamini and Hochberg over the z scores, in bins of STEP
+    letters = [t for t in tokens if got[t].encoding == "letters"]
+    usual = sum(want[t][1] * want[t][0] for t in letters) / sum(want[t][0] for t in letters)
+    cubes = usual**1.5 * secrets.CUBES / secrets.COINCIDENCE**1.5
+    bins = {}
+    for t, (n, coincidence, _) in want.items():
+        z = (usual - coincidence) / (max(4 * (cubes - usual * usual) / n, 0) + 2 * usual / (n * (n - 1))) ** 0.5
+        bins[t] = min(max(math.floor(z / secrets.STEP), 0), secrets.BINS)
+    passing = [b for b in set(bins.values()) if 0.5 * math.erfc(b * secrets.STEP / 2**0.5) <= secrets.FALSE_SHARE * sum(x >= b for x in bins.values()) / len(bins)]
+    chosen = {t for t in tokens if passing and bins[t] >= min(passing) and got[t].p_random >= secrets.LEVEL and (got[t].encoding != "letters" or want[t][0] >= secrets.LEAST_LETTERS)}
+    rows = spark.createDataFrame([(t, 3) for t in tokens], "token string, kind int")
+    assert {x.token for x in secrets._random_tokens(rows).collect()} == chosen and len(chosen) > 40
+
+
 # 9
 
 
@@ -528,6 +656,58 @@ def test_language(spark):
     assert [x.lang_pred for x in language.identify(docs(spark, [(1, "abc")]), empty).collect()] == ["und"]
 
 
+def test_the_regression_as_by_brute_force():
+    """Follow-the-regularised-leader, coordinate by coordinate in plain Python."""
+    r = np.random.default_rng(3)
+    rows = [(np.sort(r.choice(40, 6, replace=False)), r.random(6), int(r.integers(3))) for _ in range(50)]
+    got = language._ftrl(rows, 3)
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(i, c):
+        if abs(z[i, c]) <= language.L1:
+            return 0.0
+        return -(z[i, c] - math.copysign(language.L1, z[i, c])) / ((language.BETA + n[i, c] ** 0.5) / language.ALPHA + language.L2)
+
+    order = np.random.default_rng(7)
+    for _ in range(language.EPOCHS):
+        for k in order.permutation(len(rows)):
+            at, values, label = rows[k]
+            x = [*zip(at.tolist(), values.tolist()), (language.SIZE, 1.0)]
+            w = {(i, c): weight(i, c) for i, _ in x for c in range(3)}
+            logits = [sum(v * w[i, c] for i, v in x) for c in range(3)]
+            top = max(logits)
+            e = [math.exp(v - top) for v in logits]
+            p = [v / sum(e) for v in e]
+            for i, v in x:
+                for c in range(3):
+                    g = v * (p[c] - (c == label))
+                    z[i, c] += g - ((n[i, c] + g * g) ** 0.5 - n[i, c] ** 0.5) / language.ALPHA * w[i, c]
+                    n[i, c] += g * g
+    for i in [*range(40), language.SIZE]:
+        assert np.allclose(got[i], [weight(i, c) for c in range(3)], atol=1e-9)
+    logits, labels = r.normal(size=(30, 3)), r.integers(0, 3, 30)
+    loss = lambda t: -np.mean([x[k] / t - np.log(np.exp(x / t).sum()) for x, k in zip(logits, labels)])
+    assert language._temperature(logits, labels) == min(np.geomspace(0.05, 5, 60), key=loss)
+
+
+def test_tf_idf_as_by_brute_force(spark):
+    texts = ["Ab a!", "ba", "ab ab", "", None, "1 2"]
+    frame = spark.createDataFrame([(i, t, "x", "s", 0) for i, t in enumerate(texts * 5)], SCHEMA)
+    model = language.fit(frame)
+    seen = [t for i, t in enumerate(texts * 5) if zlib.crc32(str(i).encode()) % 4 != 2 and t and any(c.isalpha() for c in t)]
+    grams = [set(np.flatnonzero(language.gram_counts(t))) for t in seen]
+    want = [math.log((1 + len(seen)) / (1 + sum(g in x for x in grams))) + 1 for g in range(0, language.SIZE)]
+    assert np.allclose(model["idf"], want, atol=1e-6)
+    # "ab a!" has the letters 0 a b 0 a 0: six 1-grams, five pairs, four triples
+    assert language.gram_counts("Ab a!").sum() == 6 + 5 + 4 and (language.gram_counts("ab A?") == language.gram_counts("Ab a!")).all()
+
+
+def test_the_sample_stays_within_its_bound(spark):
+    frame = spark.createDataFrame([(i, prose(i, 30) if i % 2 else "ka lo " + prose(i, 30), "en" if i % 2 else "xx", "s", 0) for i in range(400)], SCHEMA)
+    full, small = language.fit(frame), language.fit(frame, grams=8000)
+    assert (full["w"] != 0).sum() > (small["w"] != 0).sum() > 0
+
+
 # 10
 
 
