@@ -227,9 +227,13 @@ def _bytes(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _shard(vocabulary: int):
-    """(row, doc_id, tokens, target_loss, background_loss): each document's part from one shard."""
+    """(row, doc_id, tokens, target_loss, background_loss): each document's part from the shard that a task has."""
 
-    def run(part: pa.Table) -> pa.Table:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if not held:
+            return
+        part = pa.Table.from_batches(held)
         keys, _ = _bytes(part.column("grams"))
         wide = np.zeros((len(keys) // 6, 8), np.uint8)
         wide[:, :6] = keys.reshape(-1, 6)
@@ -242,7 +246,7 @@ def _shard(vocabulary: int):
         for name, counted in (("target_loss", times * target[doc]), ("background_loss", times)):
             term = _terms(distinct, np.bincount(place, weights=counted, minlength=len(distinct)), vocabulary)
             out.append(part.column(name).to_numpy() + np.bincount(doc, weights=term[place] * times, minlength=part.num_rows).astype(float))
-        return pa.Table.from_arrays([x if isinstance(x, pa.ChunkedArray) else pa.array(x) for x in out], ["row", "doc_id", "tokens", "target_loss", "background_loss"])
+        yield from pa.Table.from_arrays([x if isinstance(x, pa.ChunkedArray) else pa.array(x) for x in out], ["row", "doc_id", "tokens", "target_loss", "background_loss"]).to_batches()
 
     return run
 
@@ -277,7 +281,7 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, text: str =
         counts = [sums[k].to_numpy()[order] for k in ("n", "t")]
     shards = max(LEAST_SHARDS, -(-words // shard_words))
     dealt = rows.mapInArrow(_deal(spark.sparkContext.broadcast((keys, *counts)), shards, vocabulary), PARTS)
-    parts = dealt.groupBy("shard").applyInArrow(_shard(vocabulary), "row long, doc_id long, tokens long, target_loss double, background_loss double")
+    parts = dealt.repartitionById(shards, F.col("shard")).mapInArrow(_shard(vocabulary), "row long, doc_id long, tokens long, target_loss double, background_loss double")
     summed = parts.groupBy("row", "doc_id").agg(*[F.sum(k).alias(k) for k in ("tokens", "target_loss", "background_loss")])
     mean = [
         F.when(F.col("tokens") > 0, F.col(k) / (F.col("tokens") + 1) + (1 - SHARE) * math.log(n + vocabulary)).otherwise(F.lit(0.0)).alias(k)
