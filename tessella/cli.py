@@ -1,4 +1,4 @@
-"""Command line: extract, status and init-ids over a working tree."""
+"""Command line: extract, status, init-ids, compose, verify and seed over a working tree."""
 
 from __future__ import annotations
 
@@ -19,15 +19,26 @@ class _Usage(argparse.ArgumentParser):
 def parser() -> argparse.ArgumentParser:
     top = _Usage(prog="tessella", description="Localization catalogs of a working tree.")
     todo = top.add_subparsers(dest="command", required=True, parser_class=_Usage)
-    for name, text in (("extract", "extract units and update the catalogs"), ("status", "report translation state; --policy gates"), ("init-ids", "insert explicit ids; --check lints them")):
+    commands_ = {
+        "extract": "extract units and update the catalogs", "status": "report translation state; --policy gates", "init-ids": "insert explicit ids; --check lints them",
+        "compose": "write a locale's tree", "verify": "gate terms, lengths, fences and overrides", "seed": "draft from a translated tree",
+    }
+    for name, text in commands_.items():
         own = todo.add_parser(name, help=text)
         own.add_argument("--root", default=".")
-        if name == "status":
+        if name in ("extract", "init-ids"):
+            own.add_argument("--check", action="store_true")
+        else:
+            own.add_argument("--locale", required=name in ("compose", "seed"))
+        if name in ("status", "seed"):
             own.add_argument("--json", action="store_true")
+        if name == "status":
             own.add_argument("--policy")
-            own.add_argument("--locale")
-        else:
-            own.add_argument("--check", action="store_true")
+        if name == "compose":
+            own.add_argument("--out")
+            own.add_argument("--strict", action="store_true")
+        if name == "seed":
+            own.add_argument("--from", dest="source", required=True)
     return top
 
 
@@ -42,6 +53,12 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=N
             return commands.extract(spark, args.root, out, err, args.check)
         if args.command == "status":
             return commands.status(spark, args.root, out, err, args.json, args.policy, args.locale)
+        if args.command == "compose":
+            return commands.compose(spark, args.root, out, err, args.locale, args.out, args.strict)
+        if args.command == "verify":
+            return commands.verify(spark, args.root, out, err, args.locale)
+        if args.command == "seed":
+            return commands.seed(spark, args.root, out, err, args.source, args.locale, args.json)
         return commands.init_ids(spark, args.root, out, err, args.check)
     except WorkspaceError as error:
         err(f"error: {error}")

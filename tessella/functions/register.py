@@ -18,7 +18,12 @@ SQL_FUNCTIONS = {
         "string",
         "case when size(msgstr) = 0 or exists(msgstr, x -> x = '') then 'missing' when array_contains(flags, 'fuzzy') then 'fuzzy' when array_contains(flags, 'needs-review') then 'needs-review' else 'reviewed' end",
     ),
-    "strip_tags": ("t string", "string", "regexp_replace(t, '<[^>]*>', '')"),
+    # As in functions.text: what follows the last ``>`` is cut off first, so that unclosed tags cost nothing.
+    "strip_tags": (
+        "t string",
+        "string",
+        "concat(regexp_replace(substring(t, 1, length(t) - instr(concat(reverse(t), '>'), '>') + 1), '<[^>]*+>', ''), substring(t, length(t) - instr(concat(reverse(t), '>'), '>') + 2))",
+    ),
 }
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 import unicodedata
 
 import pandas as pd
@@ -11,6 +13,8 @@ from pyspark.sql import types as T
 
 #: White space as trimming knows it: the space separators, tab to carriage return, the two separators, the byte-order mark.
 TRIMMED = "\\t\\n\\x0B\\f\\r\\x20\\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000\\uFEFF"
+#: Characters that are not seen and can turn a message round: zero-width ones, marks of direction, the byte-order mark.
+INVISIBLE_CODES = (*range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2066, 0x206A), 0xFEFF)
 INVISIBLE = "[\\u200b-\\u200f\\u202a-\\u202e\\u2066-\\u2069\\ufeff]"
 UNSAFE = "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]"
 
@@ -39,6 +43,27 @@ def has_unsafe_character(text: Column) -> Column:
     return text.rlike(UNSAFE)
 
 
+def neutralised(text: Column) -> Column:
+    """Characters that are not seen spelled as escapes, so that a message reads as it is written."""
+    out = text
+    for code in INVISIBLE_CODES:
+        out = F.replace(out, F.lit(chr(code)), F.lit(f"\\u{code:04x}"))
+    return F.when(text.rlike(INVISIBLE), out).otherwise(text)
+
+
+def shown_name(text: str) -> str:
+    """A name from outside as a message shows it: control and unseen characters spelled as escapes."""
+    return re.sub(rf"{INVISIBLE}|[\x00-\x1f\x7f]", lambda m: f"\\u{ord(m[0]):04x}", text)
+
+
+def described(value: object) -> str:
+    """Any value as a message shows it: as JSON, or by its type's name where JSON has no form for it."""
+    try:
+        return shown_name(json.dumps(value, ensure_ascii=False))
+    except (TypeError, ValueError, RecursionError):
+        return type(value).__name__
+
+
 def position_at(text: Column, offset: Column) -> Column:
     """struct(line, column), both from 1, of a 0-based offset."""
     before = F.substring(text, F.lit(1), offset)

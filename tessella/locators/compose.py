@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
 
 from tessella.locators.spans import Hole, Located, lines_of
@@ -99,19 +99,44 @@ def rejection(hole: Hole, new: str, text: str, said: str | None = None) -> str |
     return _deck_reason(hole, new, text) if surface == "slides" else _lab_reason(hole, new) if surface == "labs" else None
 
 
-def compose(located: Located, translations: Mapping[str, str]) -> str:
-    """The file with its translations. A hole without one, or with its own source, keeps its bytes. Raises with all issues."""
-    parts, issues, at = [], [], 0
+BANNER = "generated by {}; do not edit"
+
+
+def banner(surface: str, text: str, generator: str) -> str:
+    """``text`` with a line that says it is generated: in a deck's first frontmatter, after a lab's end, as the first key of a
+    JSON object, which are the places where it shows nowhere."""
+    said = BANNER.format(generator)
+    if surface == "slides":
+        head = re.match("\ufeff?---[ \t]*\r?\n", text)
+        return f"{head[0]}# {said}\n{text[head.end() :]}" if head else f"---\n# {said}\n---\n{text}"
+    if surface == "labs":
+        return f"{text}{'' if text.endswith(chr(10)) or not text else chr(10)}\n<!-- {said} -->\n"
+    head = re.match("\ufeff?\\s*\\{", text)
+    more = "" if head and text[head.end() :].lstrip().startswith("}") else ", "
+    return f"{head[0]}{json.dumps('$comment')}: {json.dumps(said)}{more}{text[head.end() :].lstrip(' ')}" if head else text
+
+
+def compose(located: Located, translations: Mapping[str, str], spans: Iterable[tuple[int, int, str]] = ()) -> str:
+    """The file with its translations, and with other text in place of whole ``spans`` (start, end, text).
+
+    A hole without a translation, or with its own source, keeps its bytes; holes inside a span are left out. Raises with
+    all issues.
+    """
+    spans = sorted(spans)
+    changes, issues = list(spans), []
     for hole in located.holes:
         said = translations.get(hole.unit_id)
-        if said is None or said == hole.source:
+        if said is None or said == hole.source or any(a <= hole.start < b for a, b, _ in spans):
             continue
         new = encoded(hole, located.text, said)
         if reason := rejection(hole, new, located.text, said):
             issues.append(Issue(hole.unit_id, reason))
             continue
-        parts += [located.text[at : hole.start], new]
-        at = hole.end
+        changes.append((hole.start, hole.end, new))
     if issues:
         raise CompositionError(issues)
+    parts, at = [], 0
+    for start, end, new in sorted(changes):
+        parts += [located.text[at:start], new]
+        at = end
     return "".join([*parts, located.text[at:]])

@@ -44,12 +44,40 @@ def outcome(unit_there: Column, entry_there: Column, obsolete: Column, moved: Co
     )
 
 
+class DuplicateUnitError(ValueError):
+    """Units that are in one batch twice; ``rows`` has (locale, unit_id, n)."""
+
+    def __init__(self, rows: list) -> None:
+        super().__init__("; ".join(f"{r.unit_id!r} is {r.n} times among the units of {r.locale}" for r in rows))
+        self.rows = rows
+
+
+def repeated_units(units: DataFrame) -> DataFrame:
+    """(locale, unit_id, n): ids that a batch has more than once in a locale. A merge of such a batch has no meaning."""
+    return units.groupBy("locale", "unit_id").agg(F.count("*").alias("n")).filter("n > 1")
+
+
+def assert_batch(units: DataFrame) -> None:
+    """Raises for ids that repeat, naming up to ten."""
+    if rows := repeated_units(units).orderBy("locale", "unit_id").take(10):
+        raise DuplicateUnitError(rows)
+
+
 def classified(units: DataFrame, entries: DataFrame) -> DataFrame:
-    """Both sides of every id with ``outcome`` and ``moved``; u_ and e_ prefix the sides' columns."""
-    u = units.select("locale", "unit_id", *[F.col(c).alias(f"u_{c}") for c in units.columns if c not in ("locale", "unit_id")], F.lit(True).alias("u_there"))
-    e = entries.select("locale", "unit_id", *[F.col(c).alias(f"e_{c}") for c in entries.columns if c not in ("locale", "unit_id")], F.lit(True).alias("e_there"))
+    """Both sides of every id with ``outcome`` and ``moved``; u_ and e_ prefix the sides' columns.
+
+    An id that the units have twice in a locale is an error (``assert_batch`` names them beforehand). Of a live and an
+    obsolete entry of one id the live one meets the unit, and the other goes; without the unit both stay. The windows
+    that tell this are dealt out as the join is: no row moves for them.
+    """
+    same = W.partitionBy("locale", "unit_id")
+    once = F.when(F.count("*").over(same) > 1, F.raise_error(F.concat(F.lit("unit id is in the batch twice: "), F.col("unit_id"))).cast("boolean")).otherwise(F.lit(True))
+    u = units.withColumn("u_there", once).select("locale", "unit_id", *[F.col(c).alias(f"u_{c}") for c in units.columns if c not in ("locale", "unit_id")], "u_there")
+    twin = F.col("obsolete") & F.max(~F.col("obsolete")).over(same)
+    e = entries.withColumn("e_twin", twin).select("locale", "unit_id", *[F.col(c).alias(f"e_{c}") for c in entries.columns if c not in ("locale", "unit_id")], F.lit(True).alias("e_there"), "e_twin")
     both = u.join(e, ["locale", "unit_id"], "full")
     there, was = F.coalesce("u_there", F.lit(False)), F.coalesce("e_there", F.lit(False))
+    both = both.filter(~(there & F.coalesce("e_twin", F.lit(False)))).drop("e_twin")
     recorded = F.col("e_recorded_hash") if "e_recorded_hash" in both.columns else F.lit(None).cast("string")
     moved = there & was & source_moved(F.col("e_msgid"), recorded, F.col("u_source"))
     dead = F.coalesce("e_obsolete", F.lit(False))
@@ -165,9 +193,3 @@ def with_drafts(entries: DataFrame, drafts: DataFrame) -> tuple[DataFrame, DataF
     if "previous" in out.columns:
         out = out.withColumn("previous", F.when(~has, F.col("previous")))
     return out.drop("draft"), judged.filter("reason is not null").select("locale", "unit_id", "text", "reason")
-
-
-def first_by(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    """Of each key the first row."""
-    w = W.partitionBy(*key).orderBy(*order)
-    return rows.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")

@@ -135,19 +135,19 @@ def gated_units(statuses: DataFrame, policy: Policy | str) -> DataFrame:
     return with_required(statuses).filter(is_gated(resolve_policy(policy), F.col("required"), F.col("state")))
 
 
-def violations(statuses: DataFrame, policy: Policy | str, with_units: bool = True) -> DataFrame:
-    """(locale, state, limit, count[, units]) where more units than the ceiling are in a state. ``units`` lists them all,
-    by id; the counts alone need no list."""
+def violations(statuses: DataFrame, policy: Policy | str) -> DataFrame:
+    """(locale, state, limit, count) where more units than the ceiling are in a state."""
     policy = resolve_policy(policy)
-    gated = gated_units(statuses, policy)
-    limits = gated.sparkSession.createDataFrame(sorted(policy.max_required.items()), "state string, limit long")
-    counts = gated.groupBy("locale", "state").agg(F.count("*").alias("count"))
-    over = counts.join(F.broadcast(limits), "state").filter(F.col("count") > F.col("limit")).select("locale", "state", "limit", "count")  # four rows
-    if not with_units:
-        return over
-    listed = gated.join(over.select("locale", "state"), ["locale", "state"], "left_semi").groupBy("locale", "state")
-    lists = listed.agg(F.sort_array(F.collect_list(F.struct(F.col("unit_id").alias("id"), "section"))).alias("units"))
-    return over.join(lists, ["locale", "state"])
+    limits = statuses.sparkSession.createDataFrame(sorted(policy.max_required.items()), "state string, limit long")
+    counts = gated_units(statuses, policy).groupBy("locale", "state").agg(F.count("*").alias("count"))
+    return counts.join(F.broadcast(limits), "state").filter(F.col("count") > F.col("limit")).select("locale", "state", "limit", "count")  # four rows
+
+
+def offenders(statuses: DataFrame, policy: Policy | str) -> DataFrame:
+    """(locale, state, limit, count, unit_id, section): a row for each unit in a state that ``violations`` has. The units of
+    a locale may be any number; they are never gathered into one row."""
+    over = F.broadcast(violations(statuses, policy))  # four rows a locale at most
+    return gated_units(statuses, policy).join(over, ["locale", "state"]).select("locale", "state", "limit", "count", "unit_id", "section")
 
 
 def report(statuses: DataFrame, policy: Policy | str | None = None) -> dict:
@@ -172,9 +172,11 @@ def report(statuses: DataFrame, policy: Policy | str | None = None) -> dict:
     }
     if policy is not None:
         policy = resolve_policy(policy)
-        found = violations(statuses, policy).collect()
-        found.sort(key=lambda r: (utf16(r.locale), UNIT_STATES.index(r.state)))
-        out["policy"] = {"name": policy.name, "satisfied": not found, "violations": [v.asDict(recursive=True) for v in found]}
+        found: dict[tuple, dict] = {}
+        for r in sorted(offenders(statuses, policy).collect(), key=lambda r: (utf16(r.locale), UNIT_STATES.index(r.state), r.unit_id)):  # the report names them all
+            own = found.setdefault((r.locale, r.state), {"locale": r.locale, "state": r.state, "limit": r.limit, "count": r["count"], "units": []})
+            own["units"].append({"id": r.unit_id, "section": r.section})
+        out["policy"] = {"name": policy.name, "satisfied": not found, "violations": list(found.values())}
     return out
 
 

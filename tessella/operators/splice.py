@@ -5,6 +5,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -23,19 +26,27 @@ def overlaps(holes: DataFrame) -> DataFrame:
     return holes.withColumn("prior_end", F.lag("end").over(w)).filter(F.col("start") < F.col("prior_end")).select("path", "unit_id", "start", "prior_end")
 
 
+def _spliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One pass over each text: Catalyst's substring counts code points from the head again for every piece."""
+    for batch in batches:
+        done = []
+        for text, changes in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            parts, at = [], 0
+            for change in changes or ():
+                parts += [text[at : change["start"]], change["said"]]
+                at = change["end"]
+            done.append("".join([*parts, text[at:]]) if changes else text)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(done, pa.string())], ["path", "composed"])
+
+
 def compose(files: DataFrame, holes: DataFrame, translations: DataFrame) -> DataFrame:
     """(path, composed): ``files`` (path, text) with the translations (unit_id, text) in their holes.
 
     A hole without a translation, or with its own source as one, keeps its bytes. Only replacements are gathered per
-    file, as a sorted array; each takes the text before it along. A file's text never leaves its row.
+    file, as a sorted array; a file's text never leaves its row.
     """
     said = translations.select("unit_id", F.col("text").alias("said"))
     new = holes.join(said, "unit_id").filter("said <> source")
     changes = new.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("start", "end", "said"))).alias("changes"))
     rows = files.join(changes, "path", "left")
-    text = F.col("text")
-    before = lambda i: F.when(i == 0, F.lit(0).cast("long")).otherwise(F.get("changes", i - 1)["end"])
-    parts = F.transform("changes", lambda c, i: F.concat(F.substring(text, before(i).cast("int") + 1, (c["start"] - before(i)).cast("int")), c["said"]))
-    tail = F.substring(text, F.element_at("changes", -1)["end"].cast("int") + 1, F.length(text))
-    done = F.concat(F.array_join(parts, ""), tail)
-    return rows.select("path", F.coalesce(done, "text").alias("composed"))
+    return rows.select(F.col("path").cast("string").alias("path"), F.col("text").cast("string").alias("text"), "changes").mapInArrow(_spliced, "path string, composed string")

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import identity as ids
 from tessella.functions import text as tx
-from tessella.operators import extraction, gates, merge, policy, splice, states
+from tessella.operators import composition, extraction, gates, merge, policy, splice, states
 from tessella.plans import relations as rel
 from tessella.plans.relations import sql
 
@@ -40,17 +41,18 @@ def source_hash_units(spark, d):
 
 
 def _candidate_ids(spark, d):
-    """Ids good and bad, from the conversations."""
+    """Ids good and bad, from the conversations: of each turn the whole text (``n`` 0) and every word."""
     c = rel.table(spark, d, "conversations")
-    key = F.regexp_replace(F.substring("text", 1, 12), " ", "/")
+    keys = F.concat(F.array(F.replace("text", F.lit(" "), F.lit("/"))), F.split("text", " "))
     container = F.concat(F.when(F.col("turn") % 5 == 4, "co n-").when(F.col("turn") % 7 == 6, "").otherwise("conv-"), F.col("conv_id").cast("string"), F.when(F.col("turn") % 6 == 5, "..").otherwise(""))
     surface = F.when(F.col("role") == "user", "slides").when(F.col("role") == "assistant", "quiz").otherwise(F.col("role"))
-    return c.select("conv_id", "turn", surface.alias("surface"), container.alias("container_id"), key.alias("unit_key"))
+    return c.select("conv_id", "turn", surface.alias("surface"), container.alias("container_id"), F.posexplode(keys).alias("n", "unit_key"))
 
 
-_CAND = """cand as (select conv_id, turn, case when role = 'user' then 'slides' when role = 'assistant' then 'quiz' else role end as surface,
+_CAND = """turns as (select conv_id, turn, case when role = 'user' then 'slides' when role = 'assistant' then 'quiz' else role end as surface,
   (case when turn % 5 = 4 then 'co n-' when turn % 7 = 6 then '' else 'conv-' end) || conv_id || (case when turn % 6 = 5 then '..' else '' end) as container_id,
-  regexp_replace(substr(text, 1, 12), ' ', '/', 'g') as unit_key from conversations)"""
+  list_prepend(replace(text, ' ', '/'), string_split(text, ' ')) as k from conversations where text is not null),
+cand as (select conv_id, turn, surface, container_id, i as n, k[i + 1] as unit_key from (select *, unnest(range(len(k))) as i from turns))"""
 _RESERVED = "(ends_with({0}, '.') or lower(string_split({0}, '.')[1]) in ('con','prn','aux','nul','com1','com2','com3','com4','com5','com6','com7','com8','com9','lpt1','lpt2','lpt3','lpt4','lpt5','lpt6','lpt7','lpt8','lpt9'))"
 _CONTAINER = (
     "case when {0} is null then 'not-a-string' when {0} = '' then 'empty' when length({0}) > 128 then 'too-long' when contains({0}, '..') or contains({0}, '/') or contains({0}, '\\') then 'path-traversal' "
@@ -65,13 +67,13 @@ _KEY = (
 @query(
     "unit_id_parse_validate",
     f"""with {_CAND}, x as (select *, surface || ':' || container_id || ':' || unit_key as raw, {_CONTAINER.format("container_id")} as c, {_KEY.format("unit_key")} as k, surface not in ('slides', 'labs', 'quiz') as s from cand)
-    select conv_id, turn, raw as unit_id, not s and container_id <> '' and unit_key <> '' as parses, concat_ws(', ', case when s then 'surface: unknown-surface' end, 'containerId: ' || c, 'unitKey: ' || k) as issues from x""",
+    select conv_id, turn, n, raw as unit_id, not s and container_id <> '' and unit_key <> '' as parses, concat_ws(', ', case when s then 'surface: unknown-surface' end, 'containerId: ' || c, 'unitKey: ' || k) as issues from x""",
 )
 def unit_id_parse_validate(spark, d):
     s, c, k = F.col("surface"), F.col("container_id"), F.col("unit_key")
     raw = ids.unit_id(s, c, k)
     rows = _candidate_ids(spark, d)
-    return rows.select("conv_id", "turn", raw.alias("unit_id"), ids.parsed_unit_id(raw).isNotNull().alias("parses"), F.array_join(ids.unit_id_issues(s, c, k), ", ").alias("issues"))
+    return rows.select("conv_id", "turn", "n", raw.alias("unit_id"), ids.parsed_unit_id(raw).isNotNull().alias("parses"), F.array_join(ids.unit_id_issues(s, c, k), ", ").alias("issues"))
 
 
 @query("container_id_rejections", f"with {_CAND} select coalesce({_CONTAINER.format('container_id')}, 'safe') as reason, count(*) as n from cand group by 1")
@@ -113,7 +115,7 @@ def source_hash_shape(spark, d):
 def code_unit_order(spark, d):
     """The documents' texts in UTF-16 order; SQL has no such order."""
     rows = rel.table(spark, d, "documents").select(F.col("text").alias("head")).distinct()
-    return rows.withColumn("key", F.hex(ids.code_unit_key(F.col("head")))).orderBy(ids.code_unit_key(F.col("head")))
+    return policy.ordered_by_code_units(rows.withColumn("key", F.hex(ids.code_unit_key(F.col("head")))), "head")
 
 
 # States and policy
@@ -146,26 +148,22 @@ def tally_grouping_sets(spark, d):
     return policy.tally(_statuses(spark, d))
 
 
-_OVER = "select locale, state, lim as \"limit\", count(*) as count, list_sort(list(unit_id || '@' || section)) as units from g join lim using (state) group by all having count(*) > lim"
-
-
-def _flat(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("units", F.sort_array(F.transform("units", lambda u: F.concat(u["id"], F.lit("@"), u["section"]))))
-
-
-@query("policy_release_violations", sql(_OVER, "st", more="lim(state, lim) as (values ('missing', 0::bigint), ('fuzzy', 0), ('needs-review', 0)), g as (select * from st)"))
+@query(
+    "policy_release_violations",
+    sql("select locale, state, 0::bigint as \"limit\", count, unit_id, section from (select *, count(*) over (partition by locale, state) as count from st where state in ('missing', 'fuzzy', 'needs-review')) where count > 0", "st"),
+)
 def policy_release_violations(spark, d):
-    return _flat(policy.violations(_statuses(spark, d), "release"))
+    return policy.offenders(_statuses(spark, d), "release")
 
 
 @query("policy_preview", sql("select locale, state, 0::bigint as \"limit\", 0::bigint as count from st where false", "st"))
 def policy_preview(spark, d):
-    return policy.violations(_statuses(spark, d), "preview", with_units=False)
+    return policy.violations(_statuses(spark, d), "preview")
 
 
 @query("policy_custom_threshold", sql("select locale, state, lim as \"limit\", count(*) as count from st join lim using (state) group by all having count(*) > lim", "st", more="lim(state, lim) as (values ('missing', 1000::bigint), ('fuzzy', 20), ('reviewed', 100))"))
 def policy_custom_threshold(spark, d):
-    return policy.violations(_statuses(spark, d), policy.Policy("custom", {"missing": 1000, "fuzzy": 20, "reviewed": 100}), with_units=False)
+    return policy.violations(_statuses(spark, d), policy.Policy("custom", {"missing": 1000, "fuzzy": 20, "reviewed": 100}))
 
 
 def _optional(spark, d):
@@ -215,7 +213,7 @@ def catalog_merge_outcomes(spark, d):
 @query(
     "catalog_merge_entries",
     sql(
-        f"""select locale, path, unit_id, outcome, obsolete, msgid, msgstr, state, case when moved then old_msgid end as previous_msgid,
+        f"""select locale, path, unit_id, outcome, obsolete, msgid, msgstr, state, case when moved then old_msgid else prev end as previous_msgid,
         concat_ws(',', nullif(flag, ''), case when moved and flag <> 'fuzzy' then 'fuzzy' end) as flags,
         case when u_source is null then '' else '. {SOURCE_KEY}: ' || reference || '|. {HASH_KEY}: sha256:' || substr(sha256(u_source), 1, 16) end as comments from ms""",
         "ms",
@@ -228,6 +226,31 @@ def catalog_merge_entries(spark, d):
     )
 
 
+@query("merge_duplicate_batch", "select 'de' as locale, 'quiz:conv-' || conv_id || ':' || role as unit_id, count(*) as n from conversations group by all having count(*) > 1")
+def merge_duplicate_batch(spark, d):
+    """Ids that a batch has twice: a merge refuses such a batch."""
+    c = rel.table(spark, d, "conversations")
+    return merge.repeated_units(c.select(F.lit("de").alias("locale"), F.concat(F.lit("quiz:conv-"), F.col("conv_id").cast("string"), F.lit(":"), F.col("role")).alias("unit_id")))
+
+
+@query(
+    "merge_live_before_dead",
+    sql(
+        """select coalesce(u.unit_id, e.unit_id) as unit_id, case when e.unit_id is null then 'added' when u.unit_id is null and e.dead then 'kept' when u.unit_id is null then 'obsoleted' when e.dead then 'resurrected' else 'there' end as outcome, e.dead as dead
+        from u full join (select unit_id, dead from (select *, unnest([false, true]) as dead from (select unit_id, doc_id, obsolete as was from e)) where dead or doc_id % 3 = 0) e on u.unit_id = e.unit_id
+        where not (u.unit_id is not null and coalesce(e.dead, false) and u.doc_id % 3 = 0)""",
+        "u", "e",
+    ),
+)
+def merge_live_before_dead(spark, d):
+    """Catalogs with an obsolete entry of every id, and a live one of some: the live one meets the unit."""
+    old = rel.old_entries(spark, d)
+    both = old.filter("doc_id % 3 = 0").withColumn("obsolete", F.lit(False)).unionByName(old.withColumn("obsolete", F.lit(True)))
+    rows = merge.classified(rel.fresh_units(spark, d), both)
+    outcome = F.when(F.col("outcome").isin("fuzzied", "unchanged"), "there").otherwise(F.col("outcome"))
+    return rows.select("unit_id", outcome.alias("outcome"), F.col("e_obsolete").alias("dead"))
+
+
 @query(
     "merge_summary_by_locale",
     sql(
@@ -322,7 +345,7 @@ def shifted_units(spark, d):
         s as (select locale, 'labs:' || string_split(unit_id, ':')[2] as container, count(*) as shifted from sh group by all)
         select locale, container, added, fuzzied, obsoleted, coalesce(shifted, 0) as shifted, coalesce(shifted, 0) > 0 or (added > 0 and obsoleted > 0) as certain from k left join s using (locale, container)
         where coalesce(shifted, 0) > 0 or (added > 0 and obsoleted > 0) or (added > 0 and fuzzied > 0)"""
-    ).replace("msgid where ms.outcome in ('added', 'fuzzied') and one.from_id <> ms.unit_id) ,", "msgid where ms.outcome in ('added', 'fuzzied') and one.from_id <> ms.unit_id),"),
+    ),
 )
 def rekeyed_containers(spark, d):
     return merge.rekeyed_containers(_shifted_rows(spark, d))
@@ -337,7 +360,7 @@ def draftable_entries(spark, d):
 
 
 def _drafts(spark, d):
-    rows = rel.source_units(spark, d).filter("n <= 2")
+    rows = rel.source_units(spark, d)
     return rows.select(F.lit("de").alias("locale"), "unit_id", F.when(F.col("doc_id") % 6 == 5, "").otherwise(F.concat(F.lit("draft of "), F.col("unit_id"))).alias("text"))
 
 
@@ -345,7 +368,7 @@ def _drafts(spark, d):
     "apply_draft",
     sql(
         f"""select e.locale, e.unit_id, case when dr.text is not null then 'needs-review' else flag end as flags, coalesce(dr.text, msgstr) as msgstr from e
-        left join (select unit_id, case when doc_id % 6 = 5 then '' else 'draft of ' || unit_id end as text from src where n <= 2 and doc_id % 6 <> 5) dr on dr.unit_id = e.unit_id and {_DRAFTABLE} where not obsolete""",
+        left join (select unit_id, case when doc_id % 6 = 5 then '' else 'draft of ' || unit_id end as text from src where doc_id % 6 <> 5) dr on dr.unit_id = e.unit_id and {_DRAFTABLE} where not obsolete""",
         "src", "e",
     ),
 )
@@ -357,7 +380,7 @@ def apply_draft(spark, d):
 @query(
     "refused_drafts",
     sql(
-        f"select 'de' as locale, s.unit_id, case when s.doc_id % 6 = 5 then 'empty-draft' when e.unit_id is null then 'no-entry' else 'human-work' end as reason from src s left join e on e.unit_id = s.unit_id and not e.obsolete where s.n <= 2 and (s.doc_id % 6 = 5 or e.unit_id is null or not ({_DRAFTABLE}))",
+        f"select 'de' as locale, s.unit_id, case when s.doc_id % 6 = 5 then 'empty-draft' when e.unit_id is null then 'no-entry' else 'human-work' end as reason from src s left join e on e.unit_id = s.unit_id and not e.obsolete where s.doc_id % 6 = 5 or e.unit_id is null or not ({_DRAFTABLE})",
         "src", "e",
     ),
 )
@@ -474,10 +497,16 @@ def po_escape(spark, d):
     return rel.table(spark, d, "documents").select("doc_id", tx.po_escaped(F.col("text")).alias("escaped"))
 
 
+def _po_sql(word: str, value: str, prefix: str) -> str:
+    """A field of a PO entry; a value of two lines has each on its own."""
+    text = f"replace(replace({value}, '\\', '\\\\'), '\"', '\\\"')"
+    return f"""{prefix} || '{word} "' || case when contains({value}, chr(10)) then '"' || chr(10) || {prefix} || '"' || replace({text}, chr(10), '\\n"' || chr(10) || {prefix} || '"') else {text} end || '"' || chr(10)"""
+
+
 _BLOCK = f"""case when u_source is null then '' else '#. {SOURCE_KEY}: ' || reference || chr(10) || '#. {HASH_KEY}: sha256:' || substr(sha256(u_source), 1, 16) || chr(10) end
     || case when flags <> '' then '#, ' || flags || chr(10) else '' end
-    || case when moved then '#| msgid "' || replace(replace(old_msgid, '\\', '\\\\'), '"', '\\"') || '"' || chr(10) else '' end
-    || p || 'msgctxt "' || unit_id || '"' || chr(10) || p || 'msgid "' || replace(replace(msgid, '\\', '\\\\'), '"', '\\"') || '"' || chr(10) || p || 'msgstr "' || replace(replace(msgstr, '\\', '\\\\'), '"', '\\"') || '"' || chr(10)"""
+    || coalesce({_po_sql('msgid', 'case when moved then old_msgid else prev end', "case when obsolete then '#~| ' else '#| ' end")}, '')
+    || {_po_sql('msgctxt', 'unit_id', 'p')} || {_po_sql('msgid', 'msgid', 'p')} || {_po_sql('msgstr', 'msgstr', 'p')}"""
 _HEADER = "'msgid \"\"' || chr(10) || 'msgstr \"\"' || chr(10) || '\"Language: de\\n\"' || chr(10) || '\"MIME-Version: 1.0\\n\"' || chr(10) || '\"Content-Type: text/plain; charset=UTF-8\\n\"' || chr(10) || '\"Content-Transfer-Encoding: 8bit\\n\"' || chr(10) || '\"X-Generator: l10n\\n\"' || chr(10)"
 
 
@@ -505,6 +534,31 @@ def po_roundtrip(spark, d):
     return rows.groupBy("locale", "path").agg(F.count("*").alias("entries"), F.count(F.when(F.col("obsolete"), 1)).alias("obsolete"), F.sum(F.length("msgid")).alias("characters"))
 
 
+@query("catalog_names", sql("select locale, path, regexp_replace(regexp_replace(path, '^[^/]*/[^/]*/', ''), '\\.po$', '') as name, count(*) as n from e group by all", "e"))
+def catalog_names(spark, d):
+    return rel.old_entries(spark, d).groupBy("locale", "path", merge.catalog_name(F.col("path")).alias("name")).agg(F.count("*").alias("n"))
+
+
+@query("count_occurrences", "select doc_id, (length(text) - length(replace(text, 'de', ''))) // 2 as n from documents")
+def count_occurrences(spark, d):
+    return rel.table(spark, d, "documents").select("doc_id", tx.count_occurrences(F.col("text"), "de").alias("n"))
+
+
+_HOSTILE = "case when doc_id % 3 = 0 then text || chr(8238) || lang when doc_id % 3 = 1 then chr(8203) || text else text || chr(7) end"
+
+
+@query("neutralise_invisible", "select doc_id, " + "replace(" * len(tx.INVISIBLE_CODES) + _HOSTILE + "".join(f", chr({c}), '\\u{c:04x}')" for c in tx.INVISIBLE_CODES) + " as shown from documents")
+def neutralise_invisible(spark, d):
+    text = F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit("\u202e"), "lang")).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("\u200b"), "text")).otherwise(F.concat("text", F.lit("\a")))
+    return rel.table(spark, d, "documents").select("doc_id", tx.neutralised(text).alias("shown"))
+
+
+@query("unsafe_characters", f"select doc_id, regexp_matches({_HOSTILE}, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]') as unsafe from documents")
+def unsafe_characters(spark, d):
+    text = F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit("\u202e"), "lang")).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("\u200b"), "text")).otherwise(F.concat("text", F.lit("\a")))
+    return rel.table(spark, d, "documents").select("doc_id", tx.has_unsafe_character(text).alias("unsafe"))
+
+
 # Specified gates
 
 
@@ -557,16 +611,16 @@ def override_staleness(spark, d):
 # Locators, over files made of the tables' text
 
 
-_PLAIN = "trim(regexp_replace(substr(text, 1, 60), '[^A-Za-z]+', ' '{g}))"
+_PLAIN = "trim(regexp_replace(text, '[^{b}p{{L}}]+', ' '{g}))"
 
 
 def _turns(spark, d):
-    """Turns of conversations with plain words in them, lower-case so that nothing reads as markup."""
-    c = rel.table(spark, d, "conversations").select("conv_id", "turn", F.expr(f"lower({_PLAIN.format(g='')})").alias("said"))
+    """The words of whole turns of conversations, lower-case so that nothing reads as markup."""
+    c = rel.table(spark, d, "conversations").select("conv_id", "turn", F.expr(f"lower({_PLAIN.format(b=chr(92) * 2, g='')})").alias("said"))
     return c.filter("length(said) >= 3")
 
 
-_TURNS = "t as (select conv_id, turn, lower(" + _PLAIN.format(g=", 'g'") + ") as said from conversations), s as (select * from t where length(said) >= 3)"
+_TURNS = "t as (select conv_id, turn, lower(" + _PLAIN.format(b=chr(92), g=", 'g'") + ") as said from conversations), s as (select * from t where length(said) >= 3)"
 
 
 def _decks(spark, d):
@@ -639,3 +693,298 @@ def duplicate_declared_ids(spark, d):
     p = rel.table(spark, d, "part")
     rows = p.select(F.concat(F.lit("id-"), (F.col("p_partkey") % 50).cast("string")).alias("id"), F.col("p_brand").alias("path"), F.col("p_size").alias("line"), F.col("p_partkey").alias("ord"))
     return extraction.duplicate_ids(rows)
+
+
+# Markup of every kind around whole turns, with what it must give
+
+
+def _said(template: str, **more) -> Column:
+    """A text with ``{s}`` for what was said and other names for the columns given."""
+    parts: list[Column] = []
+    for n, piece in enumerate(re.split(r"\{(\w+)\}", template)):
+        if piece:
+            parts.append((more.get(piece) if n % 2 else None) if n % 2 and piece != "s" else F.col("said") if n % 2 else F.lit(piece))
+    return F.concat(*parts)
+
+
+_SLIDE = """---
+slideId: {id}
+layout: two
+heading: x {s}
+title: "{s} \\"x\\""
+---
+# {s}
+
+```js
+const x = 1 // {s}
+---
+```
+
+> {s}
+>
+> - {s}
+>   more
+
+1. {s}
+   - {s}
+
+<div class="x">{s}</div>
+
+~~~~
+{s}
+~~~~
+
+Text with `code`, **{s}** &amp; <b>tag</b>.
+
+<!-- {s}
+
+second -->
+"""
+_AMISS = {0: "---\ntitle: no id\n---\n# {s}\n", 1: "---\nslideId: bad/{id}\n---\n{s}\n", 2: "---\nslideId: {id}\n---\n{s}\n", 3: ""}
+
+
+def _marked_decks(spark, d):
+    """A deck of a conversation: a slide for each turn, and one that is amiss. Every other deck has CRLF line ends."""
+    name = F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string"))
+    amiss = F.lit("")
+    for k, text in _AMISS.items():
+        amiss = F.when(F.col("turn") % 4 == k, _said(text, id=name) if text else F.lit("")).otherwise(amiss)
+    rows = _turns(spark, d).groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", F.concat(_said(_SLIDE, id=name), amiss).alias("slide")))).alias("s"))
+    text = F.array_join(F.transform("s", lambda x: x["slide"]), "")
+    text = F.when(F.col("conv_id") % 2 == 1, F.replace(text, F.lit("\n"), F.lit("\r\n"))).otherwise(text)
+    return rows.select(F.lit("slides").alias("surface"), F.concat(F.lit("slides/"), F.col("conv_id").cast("string"), F.lit(".md")).alias("path"), text.alias("text"), F.lit(0).alias("ord"))
+
+
+@query(
+    "deck_markup",
+    f"""with {_TURNS}, k as (select conv_id, turn, unnest([('fm/heading', 'x ' || said), ('fm/title', said || ' "x"'), ('body/h1-1/title', said), ('body/h1-1/bq-1/p-1', said), ('body/h1-1/bq-1/l-1/li-1/p-1', said || chr(10) || 'more'),
+      ('body/h1-1/l-1/li-1/p-1', said), ('body/h1-1/l-1/li-1/l-1/li-1/p-1', said), ('body/h1-1/p-1', 'Text with `code`, **' || said || '** &amp; <b>tag</b>.'), ('note/p-1', said), ('note/p-2', 'second')]) as u from s)
+    select 'slides:c' || conv_id || '-' || turn || ':' || u[1] as unit_id, u[2] as source from k""",
+)
+def deck_markup(spark, d):
+    return extraction.units(extraction.located(_marked_decks(spark, d))).select("unit_id", "source")
+
+
+@query(
+    "deck_diagnostics",
+    f"""with {_TURNS}, x as (select conv_id, unnest(list_filter([('prose-in-html-block', 'warning'), case turn % 4 when 0 then ('missing-slide-id', 'error') when 1 then ('unsafe-slide-id', 'error') when 2 then ('duplicate-slide-id', 'error') end], lambda v: v is not null)) as c from s)
+    select 'slides/' || conv_id || '.md' as path, c[1] as code, c[2] as severity, count(*) as n from x group by all""",
+)
+def deck_diagnostics(spark, d):
+    return extraction.located(_marked_decks(spark, d)).filter("what = 'diagnostic'").groupBy("path", "code", "severity").agg(F.count("*").alias("n"))
+
+
+_LAB = """# {s}
+
+<!-- labId: {id} -->
+
+{s}[^n] and more
+
+> {s}
+>
+> > {s}
+
+- {s}
+
+  {s}
+  1. {s}
+
+<details>
+<summary>{s}</summary>
+
+{s}
+
+</details>
+
+    indented {s}
+
+| a | {s} |
+|---|:-:|
+| {s} | `x` |
+
+[^n]: {s}
+
+Setext {s}
+==========
+
+***
+
+```sh
+{s}
+```
+"""
+
+
+def _marked_labs(spark, d):
+    name = F.concat(F.lit("lab-"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string"))
+    text = _said(_LAB, id=name)
+    text = F.when(F.col("turn") % 3 == 1, F.replace(text, F.lit("\n"), F.lit("\r\n"))).otherwise(text)
+    return _turns(spark, d).select(F.lit("labs").alias("surface"), F.concat(F.lit("labs/"), name, F.lit(".md")).alias("path"), text.alias("text"), F.lit(0).alias("ord"))
+
+
+@query(
+    "lab_markup",
+    f"""with {_TURNS}, k as (select conv_id, turn, unnest([('h1-1/title', said), ('h1-1/p-1', said || '[^n] and more'), ('h1-1/bq-1/p-1', said), ('h1-1/bq-1/bq-1/p-1', said), ('h1-1/l-1/li-1/p-1', said), ('h1-1/l-1/li-1/p-2', said), ('h1-1/l-1/li-1/l-1/li-1/p-1', said),
+      ('h1-1/html-2/summary-1', said), ('h1-1/p-2', said), ('h1-1/t-1/r-1/c-1', 'a'), ('h1-1/t-1/r-1/c-2', said), ('h1-1/t-1/r-2/c-1', said), ('h1-1/fn-n/p-1', said), ('h1-2/title', 'Setext ' || said)]) as u from s)
+    select 'labs:lab-' || conv_id || '-' || turn || ':body/' || u[1] as unit_id, u[2] as source from k""",
+)
+def lab_markup(spark, d):
+    return extraction.units(extraction.located(_marked_labs(spark, d))).select("unit_id", "source")
+
+
+@query("compose_markup", f"with {_TURNS} select 'labs/lab-' || conv_id || '-' || turn || '.md' as path, 15 as found, length(said) as said from s")
+def compose_markup(spark, d):
+    """Labs with every translation two words longer: the words are there for each unit, and the rest of the file is as it was."""
+    files = _marked_labs(spark, d)
+    units = extraction.units(extraction.located(files))
+    rows = composition.composed(files, units, units.select("unit_id", F.concat("source", F.lit(" und mehr")).alias("said")))
+    back = F.replace(F.col("text"), F.lit(" und mehr"), F.lit(""))
+    both = rows.join(files.select("path", F.col("text").alias("was")), "path").filter(back == F.col("was"))
+    words = F.split(F.regexp_replace("text", "\r", ""), " und mehr", -1)
+    return both.select("path", F.size(words).alias("found"), F.length(F.regexp_extract("was", "^# ([^\r\n]*)", 1)).alias("said"))
+
+
+_HEAD = 'msgid ""\nmsgstr "Language: de\\n"\n\n'
+_PO = _HEAD + r"""# by hand
+#. key: value
+#: labs/a.md
+#, fuzzy, c-format
+#| msgid "old\tone"
+msgctxt "labs:a:b"
+msgid ""
+"{s} "
+"tail\tX \\ \"q\" \303\251 \x41"
+msgstr "{t}\n"
+
+#~ msgctxt "labs:a:c"
+#~ msgid "gone {s}"
+#~ msgstr ""
+"""
+_BROKEN = {
+    0: 'msgctxt "a"\nmsgid "open\nmsgstr "x"\n', 1: 'msgctxt "a"\nmsgid "x\\q"\nmsgstr "x"\n', 2: 'msgctxt "a"\nmsgid "x"\nmsgid "y"\nmsgstr "x"\n', 3: 'msgctxt "a"\nmsgid "x\\777"\nmsgstr "x"\n', 4: 'msgctxt "a"\nmsgid "x"\n\nnonsense\n',
+}
+
+
+@query(
+    "po_read",
+    f"""with {_TURNS}, k as (select conv_id, turn, unnest([('labs:a:b', said || ' tail' || chr(9) || 'X \\ "q" é A', 'T' || turn || chr(10), 'fuzzy,c-format', 'old' || chr(9) || 'one', 'n'), ('labs:a:c', 'gone ' || said, '', '', null, 'y')]) as u from s)
+    select 'i18n/de/' || conv_id || '-' || turn || '.po' as path, u[1] as msgctxt, u[2] as msgid, u[3] as msgstr, u[4] as flags, u[5] as previous, u[6] = 'y' as obsolete from k""",
+)
+def po_read(spark, d):
+    """Catalogs with comments, flags, an older English, strings in pieces, escapes of every kind and an obsolete entry."""
+    from tessella.sources.po import parsed
+
+    path = F.concat(F.lit("i18n/de/"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string"), F.lit(".po"))
+    files = _turns(spark, d).select(F.lit("de").alias("locale"), path.alias("path"), _said(_PO, t=F.concat(F.lit("T"), F.col("turn").cast("string"))).alias("text"))
+    rows, _ = parsed(files)
+    return rows.filter("msgctxt is not null").select("path", "msgctxt", "msgid", F.get("msgstr", 0).alias("msgstr"), F.array_join("flags", ",").alias("flags"), F.col("previous.msgid").alias("previous"), "obsolete")
+
+
+@query("po_malformed", "select 'i18n/de/' || conv_id || '-' || turn || '.po' as path, case turn % 5 when 2 then 6 when 4 then 4 else 5 end as line from conversations")
+def po_malformed(spark, d):
+    """Catalogs with one mistake each, and the line that it is said of."""
+    from tessella.sources.po import parsed
+
+    text = F.lit("")
+    for k, broken in _BROKEN.items():
+        text = F.when(F.col("turn") % 5 == k, F.lit(_HEAD + broken)).otherwise(text)
+    path = F.concat(F.lit("i18n/de/"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string"), F.lit(".po"))
+    _, errors = parsed(rel.table(spark, d, "conversations").select(F.lit("de").alias("locale"), path.alias("path"), text.alias("text")))
+    return errors.select("path", "line")
+
+
+# A locale's tree, its gates and its seed, over the same files
+
+
+@query(
+    "compose_tree",
+    f"""with {_TURNS}, n as (select *, row_number() over (partition by conv_id order by turn) as h from s),
+    p as (select conv_id, turn, '## ' || case when turn % 2 = 0 then 'T ' || said else '[EN] ' || said end || chr(10) || chr(10) || '[EN] ' || said || chr(10) || 'and more' || chr(10) || chr(10)
+      || '> ' || case when turn % 3 = 0 then 'T ' || said || chr(10) || 'zwei' else '[EN] ' || said end || chr(10) || chr(10)
+      || '| [EN] a | [EN] b |' || chr(10) || '|---|---|' || chr(10) || '| [EN] ' || said || ' | `x` |' || chr(10) || chr(10) || '```' || chr(10) || 'code' || chr(10) || '```' || chr(10) || chr(10) as part from n)
+    select 'labs/' || conv_id || '.md' as path, '<!-- labId: lab-' || conv_id || ' -->' || chr(10) || chr(10) || string_agg(part, '' order by turn) || chr(10) || '<!-- generated by l10n; do not edit -->' || chr(10) as text, 0 as issues from p group by conv_id""",
+)
+def compose_tree(spark, d):
+    """The labs in a locale: titles of even turns and quotes of every third are translated, the rest is marked English."""
+    files = _labs(spark, d)
+    units = extraction.units(extraction.located(files))
+    key, source = F.regexp_extract("unit_id", "[^/]+(/p-1)?$", 0), F.col("source")
+    heading = F.regexp_extract("unit_id", "body/h2-([0-9]+)/", 1).cast("long")
+    turns = _turns(spark, d).select(F.concat(F.lit("labs:lab-"), F.col("conv_id").cast("string")).alias("container"), "turn", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")).cast("long").alias("h"))
+    named = units.withColumn("container", ids.container_of(F.col("unit_id"))).withColumn("h", heading).join(turns, ["container", "h"])
+    text = F.when((key == "title") & (F.col("turn") % 2 == 0), F.concat(F.lit("T "), source)).when((key == "bq-1/p-1") & (F.col("turn") % 3 == 0), F.concat(F.lit("T "), source, F.lit("\nzwei")))
+    entries = named.select("unit_id", source.alias("msgid"), text.alias("text"), F.when(text.isNull(), "missing").when(F.col("turn") % 4 == 0, "needs-review").otherwise("reviewed").alias("state"))
+    rows = composition.composed(files, units, composition.spoken(entries), generator="l10n")
+    return rows.select("path", "text", F.size("issues").alias("issues"))
+
+
+@query(
+    "compose_overrides",
+    f"""with {_TURNS} select 'slides/' || conv_id || '.md' as path, '---' || chr(10) || '# generated by l10n; do not edit' || chr(10) || substr(string_agg(
+      case when turn % 2 = 0 then '---' || chr(10) || 'slideId: c' || conv_id || '-' || turn || chr(10) || 'layout: wide' || chr(10) || '---' || chr(10) || '# Neu ' || said || chr(10) || '---' || chr(10) || 'slideId: c' || conv_id || '-' || turn || '-2' || chr(10) || '---' || chr(10) || 'Teil zwei' || chr(10)
+      else '---' || chr(10) || 'slideId: c' || conv_id || '-' || turn || chr(10) || 'title: "' || said || '"' || chr(10) || '---' || chr(10) || '# ' || said || chr(10) || chr(10) || '- ' || said || chr(10) || chr(10) || '<!-- ' || said || ' -->' || chr(10) end, '' order by turn), 5) as text
+    from s group by conv_id""",
+)
+def compose_overrides(spark, d):
+    """The decks with each slide of an even turn replaced by two."""
+    files, units = _decks(spark, d), extraction.units(extraction.located(_decks(spark, d)))
+    name = F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string"))
+    text = F.concat(F.lit("---\nsourceSlideHash: sha256:0123456789abcdef\nlayout: wide\n---\n# Neu "), "said", F.lit("\n---\n\nTeil zwei\n"))
+    overrides = composition.read_overrides(_turns(spark, d).filter("turn % 2 = 0").select(name.alias("slide_id"), name.alias("path"), text.alias("text")))
+    return composition.composed(files, units, units.limit(0).select("unit_id", F.col("source").alias("said")), overrides, generator="l10n").select("path", F.regexp_replace("text", "---\n\nTeil", "---\nTeil").alias("text"))
+
+
+_VERIFY_PAIRS = "v as (select 'de' as locale, 'slides:c' || conv_id || '-' || turn || ':p-1' as unit_id, text as source, case when turn % 3 = 0 then upper(text) when turn % 3 = 1 then text || text else text end as translation, case when turn % 2 = 0 then 'wide' when turn % 5 = 0 then 'tight' end as layout from conversations)"
+
+
+@query(
+    "verify_gates",
+    f"""with {_VERIFY_PAIRS}, r as (select *, length(translation) / length(source) as ratio, case when layout = 'tight' then 1.2 else 1.4 end as allowed from v where length(source) > 0)
+    select locale, unit_id as id, 'length-budget' as gate, printf('%.2f', ratio::double) as detail from r where ratio > allowed
+    union all select locale, unit_id, 'protected-term', term from v, (values ('the'), ('de')) as t(term) where contains(source, term) and not contains(translation, term)
+    union all select locale, unit_id, 'uncovered', layout from v where layout = 'wide'""",
+)
+def verify_gates(spark, d):
+    c = rel.table(spark, d, "conversations")
+    name = F.concat(F.lit("slides:c"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string"), F.lit(":p-1"))
+    said = F.when(F.col("turn") % 3 == 0, F.upper("text")).when(F.col("turn") % 3 == 1, F.concat("text", "text")).otherwise(F.col("text"))
+    layout = F.when(F.col("turn") % 2 == 0, "wide").when(F.col("turn") % 5 == 0, "tight")
+    pairs = c.select(F.lit("de").alias("locale"), name.alias("unit_id"), F.col("text").alias("source"), said.alias("translation"), layout.alias("layout"))
+    return composition.verified(pairs, ["the", "de"], 1.4, {"tight": 1.2})
+
+
+@query(
+    "override_fences",
+    f"""with {_TURNS} select 'de' as locale, 'c' || conv_id || '-' || turn as id, g.gate, case when g.gate = 'override' then 'stale' else '```' || chr(10) || 'run ' || said || chr(10) || '``` | ```' || chr(10) || 'run other' || chr(10) || '```' end as detail
+    from s, (values ('fence-identity'), ('override')) as g(gate) where turn % 2 = 1 and (g.gate = 'override' or turn % 3 = 0)""",
+)
+def override_fences(spark, d):
+    """Overrides of slides with a fenced command: some with another command, all for an older version of the slide."""
+    t = _turns(spark, d).filter("turn % 2 = 1")
+    name = F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string"))
+    deck = F.concat(F.lit("---\nslideId: "), name, F.lit("\n---\n```\nrun "), "said", F.lit("\n```\n"))
+    files = t.select(F.lit("slides").alias("surface"), F.concat(name, F.lit(".md")).alias("path"), deck.alias("text"))
+    own = F.concat(F.lit("---\nsourceSlideHash: sha256:0123456789abcdef\n---\nNeu\n```\nrun "), F.when(F.col("turn") % 3 == 0, "other").otherwise(F.col("said")), F.lit("\n```\n"))
+    overrides = composition.read_overrides(t.select(name.alias("slide_id"), name.alias("path"), own.alias("text")))
+    return composition.verified_overrides("de", overrides, composition.slides(files), [])
+
+
+@query(
+    "seed_tree",
+    """with t as (select conv_id, turn, text, conv_id % 4 as k from conversations),
+    u as (select 'labs:c' || conv_id as container, 'body/p-' || turn as unit_key from t),
+    o as (select 'labs:c' || conv_id as container, 'body/p-' || case when k = 3 then turn + 1 else turn end as unit_key, text, case when k = 1 then turn % 2 else 9 end as f from t where k <> 2),
+    oo as (select container, string_agg(unit_key, ',' order by unit_key) as theirs, count(distinct f) as files from o group by container), uu as (select container, string_agg(unit_key, ',' order by unit_key) as ours from u group by container)
+    select container || ':' || unit_key as unit_id, case when files > 1 then 'ambiguous' when ours = theirs then 'matched' else 'missed' end as outcome, case when files = 1 and ours = theirs then o.text end as text
+    from u join uu using (container) left join oo using (container) left join o using (container, unit_key)""",
+)
+def seed_tree(spark, d):
+    """Containers that a translated tree has alike, in two files, not at all, or with another structure."""
+    c = rel.table(spark, d, "conversations")
+    container = F.concat(F.lit("labs:c"), F.col("conv_id").cast("string"))
+    key = lambda n: F.concat(F.lit("body/p-"), n.cast("string"))
+    units = c.select(F.concat(container, F.lit(":"), key(F.col("turn"))).alias("unit_id"), container.alias("container"), key(F.col("turn")).alias("unit_key"), F.lit("s").alias("section"))
+    path = F.when(F.col("conv_id") % 4 == 1, key(F.col("turn") % 2)).otherwise(F.lit("one"))
+    other = key(F.when(F.col("conv_id") % 4 == 3, F.col("turn") + 1).otherwise(F.col("turn")))
+    tree = c.filter("conv_id % 4 <> 2").select(container.alias("container"), path.alias("path"), other.alias("unit_key"), "text")
+    return composition.seeded(units, tree).select("unit_id", "outcome", "text")

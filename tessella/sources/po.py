@@ -325,32 +325,40 @@ ROWS = (
 )
 
 
-def parsed(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Entries of ``files`` (locale, path, text), and errors (locale, path, line, error): a file has one or the other."""
+_TEXTS, _LIST = pa.string(), pa.list_(pa.string())
+_KINDS = {
+    "locale": _TEXTS, "path": _TEXTS, "ord": pa.int32(), "line": pa.int32(), "obsolete": pa.bool_(), "comments": pa.list_(pa.struct([("marker", _TEXTS), ("text", _TEXTS)])), "flags": _LIST,
+    "previous": pa.struct([("msgctxt", _TEXTS), ("msgid", _TEXTS), ("msgid_plural", _TEXTS)]), "msgctxt": _TEXTS, "msgid": _TEXTS, "msgid_plural": _TEXTS, "msgstr": _LIST, "error": _TEXTS,
+}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import json
 
+def read(files: DataFrame) -> DataFrame:
+    """ROWS of ``files`` (locale, path, text): a file has its entries, or one row with the error that stops it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for locale, path, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 try:
                     for n, e in enumerate(parse(text or "", path)):
-                        value = {
-                            "comments": [{"marker": m, "text": t} for m, t in e.comments], "flags": e.flags, "previous": e.previous, "msgctxt": e.msgctxt,
-                            "msgid": e.msgid, "msgid_plural": e.msgid_plural, "msgstr": e.msgstr,
-                        }
-                        rows.append((locale, path, n, e.line, e.obsolete, json.dumps(value), None))
+                        comments = [{"marker": m, "text": t} for m, t in e.comments]
+                        rows.append((locale, path, n, e.line, e.obsolete, comments, e.flags, e.previous or None, e.msgctxt, e.msgid, e.msgid_plural, e.msgstr, None))
                 except PoError as error:
-                    rows.append((locale, path, 0, error.line, False, None, error.detail))
+                    rows.append((locale, path, 0, error.line, False, *[None] * 7, error.detail))
             if rows:
-                kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.string(), pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["locale", "path", "ord", "line", "obsolete", "value", "error"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), _KINDS.values(), strict=True)], list(_KINDS))
+
+    return files.select("locale", "path", "text").mapInArrow(run, ROWS)
 
-    rows = files.select("locale", "path", "text").mapInArrow(run, "locale string, path string, ord int, line int, obsolete boolean, value string, error string")
-    schema = "comments array<struct<marker:string,text:string>>, flags array<string>, previous struct<msgctxt:string,msgid:string,msgid_plural:string>, msgctxt string, msgid string, msgid_plural string, msgstr array<string>"
-    good = rows.filter("error is null").withColumn("v", F.from_json("value", schema))
-    return good.select("locale", "path", "ord", "line", "obsolete", "v.*"), rows.filter("error is not null").select("locale", "path", "line", "error")
+
+def parted(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Entries, and errors (locale, path, line, error), of what ``read`` gives."""
+    return rows.filter("error is null").drop("error"), rows.filter("error is not null").select("locale", "path", "line", "error")
+
+
+def parsed(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``parted`` of ``read``, for one of the two; who needs both keeps what ``read`` gives."""
+    return parted(read(files))
 
 
 def entry_text(row: dict[str, Column] | None = None) -> Column:
