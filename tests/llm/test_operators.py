@@ -294,16 +294,16 @@ def test_the_cheapest_reading_is_that_of_brute_force():
 def test_a_word_is_found_at_every_place_of_a_long_run_of_spaced_letters(spark, toxic):
     _, model = toxic
     decoder = toxicity.Decoder(model["characters"])
-    filler = "".join(prose(33, 400).split())[:1000]
-    for at in range(0, 1001, 7):
-        run = filler[:at] + "garbage" + filler[at:]
-        found = toxicity._spaced(" ".join(run), decoder)
-        assert any(w.startswith("garbage") or "garbage" in w for w in found), at
+    words = prose(33, 200).split()
+    assert len("".join(words)) > 1000
+    found = [toxicity._spaced(" ".join("".join([*words[:at], "garbage", *words[at:]])), decoder) for at in range(len(words) + 1)]
+    assert all(any("garbage" in w for w in some) for some in found)  # wherever in the run it is
+    assert sum("garbage" in some for some in found) >= 0.97 * len(found)  # apart from a neighbour, but for a few that it could belong to
 
 
 def test_toxicity_of_another_script_and_of_signs_alone(spark):
     r = random.Random(22)
-    plain, bad = "рыба дом окно река поле мост лето снег ветер камень".split(), ["дурак", "мерзавец", "asshat"]
+    plain, bad = ["".join(r.choice("бвгдклмнпрст") + r.choice("аеио") for _ in range(r.randint(2, 4))) for _ in range(300)], ["дурак", "мерзавец", "asshat"]
     rows, labels = [], []
     for i in range(300):
         words = [r.choice(plain) for _ in range(40)]
@@ -631,7 +631,7 @@ def test_the_battery_and_its_false_discoveries_as_by_brute_force(spark):
     passing = [b for b in set(bins.values()) if 0.5 * math.erfc(b * secrets.STEP / 2**0.5) <= secrets.FALSE_SHARE * sum(x >= b for x in bins.values()) / len(bins)]
     chosen = {t for t in tokens if passing and bins[t] >= min(passing) and got[t].p_random >= secrets.LEVEL and (got[t].encoding != "letters" or want[t][0] >= secrets.LEAST_LETTERS)}
     rows = spark.createDataFrame([(t, 3) for t in tokens], "token string, kind int")
-    assert {x.token for x in secrets._random_tokens(rows).collect()} == chosen and len(chosen) > 40
+    assert {x.token for x in secrets._random_tokens(rows).collect()} == chosen and len(chosen) > 20
 
 
 # 9
@@ -698,8 +698,8 @@ def test_tf_idf_as_by_brute_force(spark):
     grams = [set(np.flatnonzero(language.gram_counts(t))) for t in seen]
     want = [math.log((1 + len(seen)) / (1 + sum(g in x for x in grams))) + 1 for g in range(0, language.SIZE)]
     assert np.allclose(model["idf"], want, atol=1e-6)
-    # "ab a!" has the letters 0 a b 0 a 0: six 1-grams, five pairs, four triples
-    assert language.gram_counts("Ab a!").sum() == 6 + 5 + 4 and (language.gram_counts("ab A?") == language.gram_counts("Ab a!")).all()
+    # "ab a!" is read as 0 a b 0 a 0 0, the first and the last for its ends: seven 1-grams, six pairs, five triples
+    assert language.gram_counts("Ab a!").sum() == 7 + 6 + 5 and (language.gram_counts("ab A?") == language.gram_counts("Ab a!")).all()
 
 
 def test_the_sample_stays_within_its_bound(spark):
